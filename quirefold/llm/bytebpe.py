@@ -1,20 +1,22 @@
 """Byte-level BPE of whole texts through the tokenizers library, a chunk at a time.
 
-The vocabulary's pre-tokenizer never joins characters over a single space between two other characters, so a text falls
-there into chunks that encode on their own.  Chunks repeat: each distinct one goes through the library once for as long
-as the worker's bounded cache holds it.
+The vocabulary's pre-tokenizer always begins anew at a single space or line feed between two other characters, and at a
+stop or comma after a letter or digit, so a text falls there into chunks that encode on their own.  Chunks repeat: each
+distinct one goes through the library once for as long as the worker's bounded cache holds it.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Distinct chunks that a worker keeps (about 100 bytes each); beyond, it starts anew.
-CACHE = 400_000
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_BLANKS, _OTHER_BLANKS, _MARKS = ("  ", "\n\n", "\n ", " \n", "\0"), re.compile(r"[^\S \n]"), re.compile(r"[.,](?<=[\W_].)")
+#: Distinct chunks that a worker keeps (about 150 bytes each); beyond, it starts anew.
+CACHE = 500_000
 
 
 def default_path() -> str:
@@ -23,6 +25,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def chunks(text: str) -> list[str]:
+    """A text in pieces that begin at a space, line feed, stop or comma where the pre-tokenizer begins anew in any case."""
+    if any(x in text for x in _BLANKS) or _OTHER_BLANKS.search(text):
+        return _CUT.split(text)
+    if not _MARKS.search(text):
+        text = text.replace(".", "\0.").replace(",", "\0,")
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+
 class ByteEncoder:
     """Encodes texts to ids held as bytes: two for an id where the vocabulary allows it, else four."""
 
@@ -33,24 +44,20 @@ class ByteEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.first: dict[str, bytes] = {}  # chunks at the start of a text
-        self.later: dict[str, bytes] = {}  # chunks after a space
-
-    def _want(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list(chunks - cache.keys())
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast([lead + c for c in new], add_special_tokens=False)):
-            cache[chunk] = np.array(got.ids, self.dtype).tobytes()
-
+        self.kind = "H" if self.size <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2") if self.kind == "H" else np.dtype("<u4")
+        self.cache: dict[str, bytes] = {}
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, as the library's encode(text, add_special_tokens=False) gives them."""
-        cut = [_CUT.split(t) if " " in t else [t] for t in texts]
-        self._want(self.first, {c[0] for c in cut}, "")
-        self._want(self.later, {x for c in cut for x in c[1:]}, " ")
-        get = self.later.__getitem__
-        return [b"".join([self.first[c[0]], *map(get, c[1:])]) for c in cut]
+        cut = [chunks(t) for t in texts]
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        cache = self.cache
+        if new := [c for c in set().union(*cut) if c not in cache]:
+            for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                cache[chunk] = array(self.kind, got.ids).tobytes()
+        get = cache.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
 
 @lru_cache(maxsize=2)
