@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytebpe, packing, rules, substring, tokenfile
+from . import bpe, bytebpe, minhash, packing, rules, substring, tokenfile
 from .common import Scratch
 
 
@@ -28,6 +28,10 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(_read(spark, sf_dir, "documents"), bpe.default_path(), digests=True)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_word_bpe, op5_substring_dedup, op8_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_word_bpe, op4_minhash, op5_substring_dedup, op8_quality_rules)}
 
-SQL: dict[str, str] = {"op5_substring_dedup": substring.SQL, "op8_quality_rules": rules.sql()}
+SQL: dict[str, str] = {"op4_minhash": minhash.SQL, "op5_substring_dedup": substring.SQL, "op8_quality_rules": rules.sql()}
