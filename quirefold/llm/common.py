@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch; texts of a few KB then make batches of a few MB.
 ARROW_ROWS = 1000
@@ -95,5 +96,9 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
-def as_long(x: DataFrame, *columns: str) -> DataFrame:
-    return x.withColumns({c: F.col(c).cast("long") for c in columns})
+def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
+    """The schema of df and further nullable columns (name, type's JSON name)."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in more:
+        out.add(name, kind)
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytebpe, minhash, packing, rules, substring, tokenfile
+from . import bpe, bytebpe, classifier, minhash, packing, rules, substring, tokenfile
 from .common import Scratch
 
 
@@ -36,10 +36,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_word_bpe, op4_minhash, op5_substring_dedup, op8_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_word_bpe, op4_minhash, op5_substring_dedup, op7_quality_classifier, op8_quality_rules)}
 
 SQL: dict[str, str] = {"op4_minhash": minhash.SQL, "op5_substring_dedup": substring.SQL, "op8_quality_rules": rules.sql()}

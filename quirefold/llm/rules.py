@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import slices, texts, tune
+from .common import schema_with, slices, texts, tune
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -122,7 +122,7 @@ RULES = (
     Rule("too_few_words", ("n_words",), lambda n: n < 10, "n_words < 10"),
     Rule("repeated_words", ("n_words", "n_repeat_words"), lambda n, r: 100 * r > 20 * n, "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", ("n_words", "n_symbols"), lambda n, s: 4 * s > n, "4 * n_symbols > n_words"),
-    Rule("duplicate_lines", ("n_lines", "n_dup_lines"), lambda n, d: 10 * d > 3 * n, "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", ("n_lines", "n_dup_lines"), lambda n, d: (d >= 3) & (10 * d > 3 * n), "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("long_words", ("n_words", "word_chars"), lambda n, c: c > 20 * n, "word_chars > 20 * n_words"),
     Rule("short_words", ("n_words", "word_chars"), lambda n, c: c < 2 * n, "word_chars < 2 * n_words"),
     Rule("capitals", ("word_chars", "n_capitals"), lambda c, u: 10 * u > 5 * c, "10 * n_capitals > 5 * word_chars"),
@@ -189,8 +189,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
                 why = np.concatenate(by)
                 yield pa.record_batch([*b.columns, pa.array(np.concatenate(kept)), pa.array([names[x] if x >= 0 else None for x in why], pa.string())], names=[*b.schema.names, "kept", "rejected_by"])
 
-    schema = docs.schema.add("kept", "boolean").add("rejected_by", "string")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema_with(docs, ("kept", "boolean"), ("rejected_by", "string")))
 
 
 MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
