@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytebpe, classifier, minhash, packing, rules, substring, tokenfile
+from . import bpe, bytebpe, caps, classifier, minhash, packing, rules, substring, tokenfile
 from .common import Scratch
 
 
@@ -44,6 +44,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measure(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_word_bpe, op4_minhash, op5_substring_dedup, op7_quality_classifier, op8_quality_rules)}
+def op10_vector_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(_read(spark, sf_dir, "embeddings"))
 
-SQL: dict[str, str] = {"op4_minhash": minhash.SQL, "op5_substring_dedup": substring.SQL, "op8_quality_rules": rules.sql()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_word_bpe, op4_minhash, op5_substring_dedup, op7_quality_classifier, op8_quality_rules, op10_vector_caps)}
+
+SQL: dict[str, str] = {"op4_minhash": minhash.SQL, "op5_substring_dedup": substring.SQL, "op8_quality_rules": rules.sql(), "op10_vector_caps": caps.SQL}
