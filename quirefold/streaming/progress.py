@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
+from ..storage import written
 
 
 def load(files: DataFrame) -> DataFrame:
@@ -30,28 +31,29 @@ def latest(events: DataFrame, keys: list[str], value: list[str], order: list[str
 
 
 def apply_log(log: DataFrame) -> DataFrame:
-    """The state after log(seq, op, path, new_path, scroll, ts_ms) with op save, rename or delete.
+    """The state after log(seq, op, path, new_path, scroll, ts_ms) with op save, rename or delete; seq is unique.
 
-    A rename moves a state to the new path, replacing what is there, and does nothing without one.  Renames cross keys,
-    so names are first resolved: each save is followed along the renames after it, a hop at a time for all rows at once,
-    until none applies; a delete, or a rename onto its name, ends a state.
+    A rename moves a state to the new path, replacing what is there, and does nothing without one; a delete, or a rename
+    onto the same name, ends it.  Renames cross keys, so each state is followed along them, a hop at a time for all rows
+    at once: a window finds the next rename or delete of its name, and of states that meet it only the one that came to
+    the name last goes on.  The numbers at which a state came to its names, the last first, order states on one name.
     """
-    moves = log.where("op = 'rename'").select(F.col("seq").alias("m_seq"), F.col("path").alias("m_from"), F.col("new_path").alias("m_to"))
-    alive = log.where("op = 'save'").select("seq", "path", "scroll", "ts_ms", F.col("seq").alias("at"))
+    ends = F.struct(F.col("seq").alias("at"), F.when(F.col("new_path") != F.col("path"), F.col("new_path")).alias("to"))
+    stops = log.where("op IN ('rename', 'delete')").select("path", F.col("seq").alias("at"), F.when(F.col("op") == "rename", ends).otherwise(F.struct(F.col("seq").alias("at"), F.lit(None).cast("string").alias("to"))).alias("stop"))
+    alive = log.where("op = 'save'").select("path", F.col("seq").alias("at"), F.array("seq").alias("arrivals"), "scroll", "ts_ms")
+    later = Window.partitionBy("path").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    state = F.struct("at", "scroll", "ts_ms", "arrivals")
+    settled = None
     while True:
-        hop = alive.join(moves, (F.col("path") == F.col("m_from")) & (F.col("m_seq") > F.col("at"))).groupBy("seq").agg(F.min(F.struct("m_seq", "m_to")).alias("hop"))
-        cut = log.where("op = 'delete'").select(F.col("seq").alias("d_seq"), F.col("path").alias("d_path"))
-        gone = alive.join(cut, (F.col("path") == F.col("d_path")) & (F.col("d_seq") > F.col("at"))).groupBy("seq").agg(F.min("d_seq").alias("d_seq"))
-        joined = alive.join(hop, "seq", "left").join(gone, "seq", "left")
-        ended = F.col("d_seq").isNotNull() & (F.col("hop").isNull() | (F.col("d_seq") < F.col("hop.m_seq")))
-        moved = joined.where(~ended)
-        alive = moved.select("seq", F.coalesce("hop.m_to", "path").alias("path"), "scroll", "ts_ms", F.coalesce("hop.m_seq", "at").alias("at"), F.col("hop").isNotNull().alias("hopped"))
-        if not alive.where("hopped").limit(1).count():
+        both = alive.unionByName(stops, allowMissingColumns=True).withColumn("next", F.last("stop", ignorenulls=True).over(later)).where("arrivals IS NOT NULL")
+        best = written(both.groupBy("path", "next").agg(F.max_by(state, "arrivals").alias("s")), "progress")
+        rest = best.where("next IS NULL").select("path", "s.arrivals", "s.scroll", "s.ts_ms")
+        settled = rest if settled is None else settled.unionByName(rest)
+        moved = best.where("next.to IS NOT NULL").select(F.col("next.to").alias("path"), F.col("next.at").alias("at"), F.concat(F.array("next.at"), "s.arrivals").alias("arrivals"), "s.scroll", "s.ts_ms")
+        if not moved.limit(1).count():
             break
-        alive = alive.drop("hopped")
-    # what arrived last at a name is its state: a save by its own number, a rename by the rename's
-    last = alive.groupBy("path").agg(F.max_by(F.struct("scroll", "ts_ms"), F.struct("at", "seq")).alias("s"))
-    return last.select("path", "s.scroll", "s.ts_ms")
+        alive = moved
+    return settled.groupBy("path").agg(F.max_by(F.struct("scroll", "ts_ms"), "arrivals").alias("s")).select("path", "s.scroll", "s.ts_ms")
 
 
 def lookup(state: DataFrame, paths: DataFrame) -> DataFrame:
