@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokenizer always begins anew at a single space or line feed between two other characters, and at a
 stop or comma after a letter or digit, so a text falls there into chunks that encode on their own.  Chunks repeat: each
-distinct one goes through the library once for as long as the worker's bounded cache holds it.
+distinct one goes through the library once for as long as the worker's bounded cache holds it.  New chunks go there many
+at a time, as lines of one text: a line feed between two of them is a token by itself, at which the ids fall apart again.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ from functools import lru_cache
 
 import numpy as np
 
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_BLANKS, _OTHER_BLANKS, _MARKS = ("  ", "\n\n", "\n ", " \n", "\0"), re.compile(r"[^\S \n]"), re.compile(r"[.,](?<=[\W_].)")
-#: Distinct chunks that a worker keeps (about 150 bytes each); beyond, it starts anew.
-CACHE = 500_000
+_CUT, _MARKS = re.compile(r"(?<=\S)(?=[ \n]\S)"), re.compile(r"[.,](?<=[\W_].)")
+#: White space beside the space and the line feed, and the character that marks cuts: texts with any are cut with care.
+_ODD = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_PLAIN = re.compile(r" ?\S+")
+#: Distinct chunks that a worker keeps (about 200 bytes each); beyond, only those of the batch at hand stay.
+CACHE = 1_000_000
+#: New chunks in one text.
+LINES = 256
 
 
 def default_path() -> str:
@@ -26,14 +31,22 @@ def default_path() -> str:
 
 
 def chunks(text: str) -> list[str]:
-    """A text in pieces that begin at a space, line feed, stop or comma where the pre-tokenizer begins anew in any case."""
-    if any(x in text for x in _BLANKS) or _OTHER_BLANKS.search(text):
-        return _CUT.split(text)
+    """A text in pieces that begin at a space, line feed, stop or comma where the pre-tokenizer begins anew in any case.
+
+    Two blanks together, or one at the end, show as a piece that is one blank: such a text must be cut by careful().
+    """
+    if any([x in text for x in _ODD]):
+        return careful(text)
     if not _MARKS.search(text):
         text = text.replace(".", "\0.").replace(",", "\0,")
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
+def careful(text: str) -> list[str]:
+    """The same for any white space: only at a single blank between two other characters."""
+    return _CUT.split(text)
+
+
 class ByteEncoder:
     """Encodes texts to ids held as bytes: two for an id where the vocabulary allows it, else four."""
 
@@ -46,17 +59,43 @@ class ByteEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "H" if self.size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2") if self.kind == "H" else np.dtype("<u4")
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
+
+    def _add(self, new: list[str]) -> None:
+        cache, odd = self.cache, new
+        if len(self.feed) == 1:
+            match = _PLAIN.fullmatch
+            plain = [c for c in new if match(c)]
+            odd = [c for c in new if not match(c)] if len(plain) < len(new) else []
+            groups = [plain[k : k + LINES] for k in range(0, len(plain), LINES)]
+            for group, got in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(got.ids, self.dtype)
+                ends = (np.flatnonzero(ids == self.feed[0]) * self.dtype.itemsize).tolist()
+                if len(ends) != len(group) - 1:
+                    odd += group
+                    continue
+                data, begin = ids.tobytes(), 0
+                for chunk, end in zip(group, [*ends, len(data)]):
+                    cache[chunk] = data[begin:end]
+                    begin = end + self.dtype.itemsize
+        for chunk, got in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            cache[chunk] = array(self.kind, got.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, as the library's encode(text, add_special_tokens=False) gives them."""
         cut = [chunks(t) for t in texts]
+        here = set().union(*cut)
+        if " " in here or "\n" in here:
+            for k, c in enumerate(cut):
+                if " " in c or "\n" in c:
+                    cut[k] = careful(texts[k])
+            here = set().union(*cut)
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        if new := [c for c in set().union(*cut) if c not in cache]:
-            for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                cache[chunk] = array(self.kind, got.ids).tobytes()
-        get = cache.__getitem__
+            self.cache = {c: x for c in here if (x := self.cache.get(c)) is not None}
+        if new := list(here.difference(self.cache)):
+            self._add(new)
+        get = self.cache.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
