@@ -162,7 +162,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     small, large = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
     ends = small.select("bucket", F.col("doc").alias("other"))
     pairs = small.select("bucket", F.col("doc").alias("a")).join(ends, "bucket").where("a < other").select("a", F.col("other").alias("b"))
-    hubs = large.groupBy("bucket").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("hub"))
+    # one row a bucket, written: the join then finds its own exchange, whose hot buckets Spark can split, or none
+    hubs = scratch.table(large.groupBy("bucket").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("hub")), "hubs")
     stars = _ordered(large.join(hubs, "bucket").where("doc <> hub"), "doc", "hub")
     tried = scratch.table(pairs.unionByName(stars).distinct(), "pairs-0")
     links = scratch.table(_verify(tried, candidates, similarity), "links-0")
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         placed = large.join(found, F.col("doc") == F.col("id"), "left").select("bucket", "doc", "score", F.coalesce("component_id", "doc").alias("part"))
         parts = placed.groupBy("bucket", "part").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("hub"), F.max("score").alias("score"))
         spanned = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by(F.struct("hub", "part"), F.struct("score", -F.col("hub"))).alias("top"), F.min_by(F.struct("hub", "part"), F.struct("score", -F.col("hub"))).alias("low")).where("n > 1")
-        tops = spanned.select("bucket", F.explode(F.array("top", "low")).alias("x")).select("bucket", F.col("x.hub").alias("hub"), F.col("x.part").alias("hub_part"))
+        tops = scratch.table(spanned.select("bucket", F.explode(F.array("top", "low")).alias("x")).select("bucket", F.col("x.hub").alias("hub"), F.col("x.part").alias("hub_part")), f"tops-{step}")
         more = _ordered(placed.join(tops, "bucket").where("part <> hub_part"), "doc", "hub").distinct().join(tried, ["a", "b"], "left_anti")
         step += 1
         more = scratch.table(more, f"pairs-{step}")
