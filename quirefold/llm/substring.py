@@ -75,11 +75,13 @@ def marked_windows(docs: DataFrame, scratch: Scratch, width: int = 50) -> DataFr
 
     leaves = scratch.table(docs.join(filed, "doc_id").select("doc_id", "text", "labels").mapInArrow(run, "node long, doc_id long, start int"), "leaves")
     scratch.free()
-    nodes = leaves.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node", "least")
+    # written, so that the join below has exchanges of its own, whose hot nodes Spark can split
+    nodes = scratch.table(leaves.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node", "least"), "nodes")
+    scratch.free()
     marked = leaves.join(nodes, "node").where("doc_id > least").groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     out = scratch.table(marked, "marked")
     scratch.free()
-    scratch.drop("leaves", "labels")
+    scratch.drop("leaves", "labels", "nodes")
     return out
 
 
