@@ -31,6 +31,8 @@ from .components import components
 COSINE, BUCKET, OVERLAP = 0.9, 64, 24.0
 #: Classes of one chunk; a task holds two chunks of one group of caps.
 CHUNK = 2048
+#: Pairs whose lists of caps are compared at once.
+PAIRS = 16384
 
 
 @dataclass(frozen=True)
@@ -127,8 +129,25 @@ def _least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _hook(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """root (of each vertex the least one it is joined to) after joining every u to its v."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
 def _compare(table: pa.Table, caps: Caps, cosine: float) -> pa.Table:
-    """Links of two chunks of a group (or of one with itself) whose least common cap lies in the group."""
+    """Links of two chunks of a group (or of one with itself) whose least common cap lies in the group.
+
+    A pair that several caps of the group hold is looked at under the first of them alone.
+    """
+    table = table.sort_by("id")  # the order of rows is then that of ids
     length, part, c, d = (table[k][0].as_py() for k in ("length", "part", "c", "d"))
     ids, weights, side = table["id"].to_numpy(), table["weight"].to_numpy(), table["chunk"].to_numpy()
     x = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(len(ids), length)
@@ -138,46 +157,34 @@ def _compare(table: pa.Table, caps: Caps, cosine: float) -> pa.Table:
     padded = np.full((len(ids), width), -1)
     for k, v in enumerate(lists):
         padded[k, : len(v)] = v
-    group = np.where(padded >= 0, padded // caps.words * caps.ranges + padded % caps.words * caps.ranges // caps.words, -1)
-    row, column = np.nonzero(group == part)
+    group_of = lambda cap: np.where(cap >= 0, cap // caps.words * caps.ranges + cap % caps.words * caps.ranges // caps.words, -1)
+    row, column = np.nonzero(group_of(padded) == part)
     by = padded[row, column]
     order = np.argsort(by, kind="stable")
-    links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
+    links, root, seen = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros((len(ids), len(ids)), bool)
     bounds = np.flatnonzero(np.append(True, np.diff(by[order]) != 0)).tolist() + [len(order)]
     for begin, end in zip(bounds[:-1], bounds[1:]):
-        members, cap = row[order[begin:end]], by[order[begin]]
+        members = row[order[begin:end]]
         for left in range(0, len(members), 512):
-            m = members[left : left + 512]
-            cos = x[m] @ x[members].T
-            u, v = np.nonzero(cos >= cosine - 1e-9)
-            u, v = m[u], members[v]
-            good = (ids[u] < ids[v]) & ((side[u] != side[v]) if c != d else True)
-            u, v = u[good], v[good]
-            if not len(u):
-                continue
-            exact = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
-            u, v = u[exact], v[exact]
-            first = _least_common(padded[u], padded[v]) == cap
-            u, v = u[first], v[first]
-            np.add.at(links, u, weights[v])
-            np.add.at(links, v, weights[u])
-            for p, q in zip(u.tolist(), v.tolist()):
-                p, q = find(p), find(q)
-                if p != q:
-                    if ids[p] < ids[q]:
-                        parent[q] = p
-                    else:
-                        parent[p] = q
+            m, rest = members[left : left + 512], members[left:]
+            hit = (x[m] @ x[rest].T >= cosine - 1e-9) & (m[:, None] < rest)
+            if c != d:
+                hit &= side[m][:, None] != side[rest]
+            hit &= ~seen[m[:, None], rest]
+            u, v = np.nonzero(hit)
+            u, v = m[u], rest[v]
+            seen[u, v] = True
+            for k in range(0, len(u), PAIRS):
+                p, q = u[k : k + PAIRS], v[k : k + PAIRS]
+                exact = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+                p, q = p[exact], q[exact]
+                first = group_of(_least_common(padded[p], padded[q])) == part
+                p, q = p[first], q[first]
+                np.add.at(links, p, weights[q])
+                np.add.at(links, q, weights[p])
+                root = _hook(root, p, q)
     got = np.flatnonzero(links)
-    roots = np.array([find(k) for k in got.tolist()], np.int64)
-    return pa.table({"id": pa.array(ids[got]), "links": pa.array(links[got]), "root": pa.array(ids[roots] if len(roots) else np.empty(0, np.int64))})
+    return pa.table({"id": pa.array(ids[got]), "links": pa.array(links[got]), "root": pa.array(ids[root[got]])})
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", bucket: int = BUCKET, overlap: float = OVERLAP) -> DataFrame:
