@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             break
         links, tried = links.unionByName(new), tried.unionByName(more)
     scratch.drop("texts", "buckets")
-    of_set = sketched.join(classes.select("set_a", "set_b", "class_id"), ["set_a", "set_b"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    of_set = sketched.join(classes.select("set_a", "set_b", "class_id"), ["set_a", "set_b"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     out = of_set.join(found, F.col("class_id") == F.col("id"), "left").select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
