@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import wordhash as W
 from .common import Scratch, slices, texts, tune
@@ -85,7 +86,8 @@ def marked_windows(docs: DataFrame, scratch: Scratch, width: int = 50) -> DataFr
     return out
 
 
-def _apply(docs: DataFrame, marked: DataFrame, width: int, texts_too: bool, more: list[str]) -> DataFrame:
+def _apply(docs: DataFrame, marked: DataFrame, width: int, texts_too: bool) -> DataFrame:
+    more = [c for c in docs.columns if c == "carried"]
     joined = docs.join(marked.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "starts", *more)
     schema = RESULT + (", kept string" if texts_too else "")
     names = [c.split()[0] for c in schema.split(", ")]
@@ -106,9 +108,7 @@ def _apply(docs: DataFrame, marked: DataFrame, width: int, texts_too: bool, more
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)] + [b.column(3 + k) for k in range(len(more))], names=names + more)
 
-    for name in more:
-        schema += f", `{name}` {docs.schema[name].dataType.simpleString()}"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, StructType(StructType.fromDDL(schema).fields + [docs.schema[c] for c in more]))
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -118,14 +118,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     one space) and on demand the text: unchanged where nothing is removed, else the kept words joined by one space.  Null
     and empty texts have no words.  Rows with one id are parts of one document for the comparison, each keeps its own
     windows of that document's marks; ids are meant to be unique.  Null ids are never smaller than another: such rows
-    keep their words.
+    keep their words.  Columns named by carry come back in the struct `carried`.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "substring")
-    plain = texts(docs, id_col, text_col, *[c for c in carry if c not in (id_col, text_col)])
+    plain = texts(docs, id_col, text_col, *([F.struct(*carry).alias("carried")] if carry else []))
     marked = marked_windows(plain.select("doc_id", "text").where("doc_id IS NOT NULL"), scratch, width)
-    return _apply(plain, marked, width, texts_too, [c for c in carry if c not in (id_col, text_col)])
+    return _apply(plain, marked, width, texts_too)
 
 
 SQL = """
