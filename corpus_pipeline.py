@@ -26,9 +26,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = substring.remove_repeats(docs, texts_too=True, carry=others)
-    return cut.select("doc_id", F.col("kept").alias("text"), *others, F.length("kept").cast("long").alias("n_chars")).select(*docs.columns)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    cut = substring.remove_repeats(docs, texts_too=True, carry=tuple(c for c in docs.columns if c not in own))
+    return cut.select(*[(own[c] if c in own else F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
