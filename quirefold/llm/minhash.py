@@ -27,7 +27,7 @@ from .components import components
 
 SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 80, 4, 0.8
 #: Buckets up to this size give all their pairs.
-SMALL = 8
+SMALL = 32
 U = np.uint64
 
 
