@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, tune
-from .components import components
+from .components import components, hook
 
 COSINE, BUCKET, OVERLAP = 0.9, 64, 24.0
 #: Classes of one chunk; a task holds two chunks of one group of caps.
@@ -129,19 +129,6 @@ def _least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hook(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """root (of each vertex the least one it is joined to) after joining every u to its v."""
-    while True:
-        a, b = root[u], root[v]
-        apart = a != b
-        if not apart.any():
-            return root
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while ((up := root[root]) != root).any():
-            root = up
-
-
 def _compare(table: pa.Table, caps: Caps, cosine: float) -> pa.Table:
     """Links of two chunks of a group (or of one with itself) whose least common cap lies in the group.
 
@@ -182,7 +169,7 @@ def _compare(table: pa.Table, caps: Caps, cosine: float) -> pa.Table:
                 p, q = p[first], q[first]
                 np.add.at(links, p, weights[q])
                 np.add.at(links, q, weights[p])
-                root = _hook(root, p, q)
+                root = hook(root, p, q)
     got = np.flatnonzero(links)
     return pa.table({"id": pa.array(ids[got]), "links": pa.array(links[got]), "root": pa.array(ids[root[got]])})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,16 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
             scratch.drop(f"{name}-{step - 2}")
     scratch.drop(f"{name}-links", f"{name}-{step - 1}")
     return new.select("id", F.col("label").alias("component_id"))
+
+
+def hook(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """root (of each vertex the least one it is joined to) after joining every u to its v."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up

@@ -8,8 +8,10 @@ a register with the probability Jaccard similarity of the weighted shingles.
 Texts with equal sets of shingles form a class, of which the least doc_id stands for all.  Sketches of representatives
 are banded.  Small buckets give all their pairs.  In a larger bucket every member is compared with a hub, the member that
 meets most others over all its buckets (of many copies of one text that is the text itself), and then, round after round,
-with the hubs of the components it isn't in, until a round finds no link.  Every pair is verified by the exact Jaccard
-similarity of the two sets of shingles; a hot bucket thus costs as many pairs as it has members, not their square.
+with the hubs of the components it isn't in, until a round finds no link.  That only saves work: large buckets that then
+still span components are compared in blocks, every pair of members of different components, by exact counts of common
+shingles.  So of the pairs that share a bucket each is verified by the exact Jaccard similarity of the two sets of
+shingles, or lies within one component already.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .common import Scratch, slices, texts, tune
-from .components import components
+from .components import components, hook
 
 SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 80, 4, 0.8
 #: Buckets up to this size give all their pairs.
 SMALL = 32
+#: Rows and bytes of text of one chunk of a large bucket; a task holds two chunks.
+CHUNK, CHUNK_BYTES = 1024, 4 << 20
+#: Shingles in more rows of a block than this are counted by a matrix product, others pair by pair.
+COMMON = 48
 U = np.uint64
 
 
@@ -136,6 +142,75 @@ def _verify(pairs: DataFrame, kept_texts: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def common_counts(row: np.ndarray, hashes: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+    """len(left) x n numbers of shingles that the rows `left` (ascending) share with each of n rows; (row, hash) are the sets."""
+    place = np.full(n, -1)
+    place[left] = np.arange(len(left))
+    out = np.zeros((len(left), n), np.float32)
+    order = np.argsort(hashes, kind="stable")
+    row, hashes = row[order], hashes[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(hashes)))
+    hot = np.flatnonzero(size > COMMON)
+    for at in range(0, len(hot), 1024):
+        some = hot[at : at + 1024]
+        full = np.zeros((n, len(some)), np.float32)
+        column = np.repeat(np.arange(len(some)), size[some])
+        full[row[np.repeat(first[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(len(column))], column] = 1
+        out += full[left] @ full.T
+    flat = out.reshape(-1)
+    for k in range(2, COMMON + 1):
+        some = first[size == k]
+        for at in range(0, len(some), max(1, (1 << 20) // (k * k))):
+            members = row[some[at : at + max(1, (1 << 20) // (k * k)), None] + np.arange(k)]
+            u, v = np.repeat(place[members], k, 1).ravel(), np.tile(members, (1, k)).ravel()
+            got, times = np.unique((u * n + v)[u >= 0], return_counts=True)
+            flat[got] += times
+    return out
+
+
+def _block(table: pa.Table, similarity: float) -> pa.Table:
+    """A forest of the links between members of two chunks (or of one) that lie in different components."""
+    ids, part, side = table["doc"].to_numpy(), table["part"].to_numpy(), table["chunk"].to_numpy()
+    n, c, d = len(ids), table["c"][0].as_py(), table["d"][0].as_py()
+    parts, part, members = np.unique(part, return_inverse=True, return_counts=True)
+    a, b = [], []
+    if len(parts) > 1:
+        rows, hashes = [], []
+        for x, _, data, offsets in slices(table["text"]):
+            r, h, _ = shingle_sets(data, offsets)
+            rows.append(r + x)
+            hashes.append(h)
+        row, element = np.concatenate(rows), np.concatenate(hashes)
+        size = np.bincount(row, minlength=n)
+        rest = np.flatnonzero(part != members.argmax())  # the largest component's members need none of their own
+        for at in range(0, len(rest), 512):
+            left = rest[at : at + 512]
+            both = common_counts(row, element, left, n)
+            hit = both / np.maximum(1, size[left][:, None] + size - both.astype(np.float64)) >= similarity
+            hit &= part[left][:, None] != part
+            if c != d:
+                hit &= side[left][:, None] != side
+            u, v = np.nonzero(hit)
+            a.append(left[u])
+            b.append(v)
+    root = np.arange(n)
+    for u, v in zip(a, b):
+        root = hook(root, u, v)
+    far = np.flatnonzero(root != np.arange(n))
+    return pa.table({"a": pa.array(ids[root[far]], pa.int64()), "b": pa.array(ids[far], pa.int64())})
+
+
+def _blocks(members: DataFrame, kept_texts: DataFrame, similarity: float) -> DataFrame:
+    """Links(a, b) that join what all pairs of members(bucket, doc, part) of one bucket and different parts would join."""
+    full = members.join(kept_texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    sizes = members.join(kept_texts.select(F.col("doc_id").alias("doc"), F.octet_length("text").alias("bytes")), "doc").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
+    dealt = full.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    # a row meets every chunk of its bucket once: the pairs (c, d) of chunks, c <= d, that hold its own
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("bucket", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"), "chunk", "doc", "part", "text")
+    return paired.groupBy("bucket", "c", "d").applyInArrow(lambda t: _block(t, similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, class_id (least doc_id with the same shingles), component_id (least doc_id of all that links reach), kept.
 
@@ -183,7 +258,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         if not new.limit(1).count():
             break
         links, tried = links.unionByName(new), tried.unionByName(more)
-    scratch.drop("texts", "buckets")
+    # what hubs left apart: every pair of members that lie in different components
+    left = scratch.table(placed.join(spanned.select("bucket"), "bucket").select("bucket", "doc", "part"), "left")
+    if left.limit(1).count():
+        new = scratch.table(_blocks(left, candidates, similarity), "links-blocks")
+        if new.limit(1).count():
+            found = components(links.unionByName(new), scratch, "all")
+    scratch.drop("texts", "buckets", "left")
     of_set = sketched.join(classes.select("set_a", "set_b", "class_id"), ["set_a", "set_b"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     out = of_set.join(found, F.col("class_id") == F.col("id"), "left").select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

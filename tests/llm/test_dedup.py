@@ -3,6 +3,7 @@ import random
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 
 from quirefold.llm import minhash, substring
@@ -62,6 +63,31 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_many_pairs_on_one_template(spark):
+    """Strangers share 170 of 200 shingles (0.74), pairs differ from each other by a few: all bands are hot."""
+    rng = random.Random(8)
+    template, docs = words(rng, 174), []
+    for k in range(150):
+        own = [f"o{k}x{j}" for j in range(30)]
+        other = list(own)
+        other[-rng.randint(18, 22) :] = [f"p{k}x{j}" for j in range(rng.randint(18, 22))]
+        docs += [f"{template} {' '.join(own)}", f"{template} {' '.join(other)}"]
+    rng.shuffle(docs)
+    sets = [shingles(d) for d in docs]
+    want = groups(range(len(docs)), [(a, b) for a, b in combinations(range(len(docs)), 2) if near(sets[a], sets[b])])
+    assert len(set(want.values())) > 100
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_blocks_by_brute_force():
+    rng = random.Random(4)
+    sets = [{rng.choice([rng.randrange(60), rng.randrange(9000)]) for _ in range(80)} for _ in range(200)]
+    row = np.array([k for k, s in enumerate(sets) for _ in s])
+    got = minhash.common_counts(row, np.array([x for s in sets for x in s], np.uint64), np.arange(20, 90), 200)
+    assert all(got[a - 20, b] == len(sets[a] & sets[b]) for a in range(20, 90) for b in range(200) if a != b)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = minhash.near_duplicates(awkward(spark)).collect()
     by = {r.doc_id: r for r in got}
