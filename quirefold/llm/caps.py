@@ -3,9 +3,11 @@
 A vector is cut into two blocks; each block has its own codebook of random unit vectors, and every pair of codewords is a
 filter: the cap of directions whose inner products with the two codewords sum to a threshold or more.  List decoding
 finds all caps of a vector from the two sorted lists of inner products, with work in proportion to the caps found.
-Vectors that share a cap are compared exactly, in double precision.  The number of vectors sets how many caps there are
-and how wide they are: about `bucket` vectors share a cap by chance, and two vectors at the least cosine share
-`overlap` caps on average.
+Vectors that share a cap are compared exactly, in double precision.  A fixed random rotation comes first, so that it doesn't
+matter how a vector's energy lies over its components.  The number of vectors of a length sets how many caps there are and
+how wide they are: about `bucket` vectors share a cap by chance, by the distribution of the product code itself; two
+vectors at the least cosine share about `overlap` caps, and there are as many more as random pairs at that cosine need
+for a recall of RECALL.
 
 Equal vectors are one class, so a vector that a third of all rows hold is compared once.  Classes go to groups of caps
 (a codeword of the first block and a range of the second's) and, where a group is large, to pairs of its chunks.  A pair
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -29,6 +32,8 @@ from .common import Scratch, tune
 from .components import components, hook
 
 COSINE, BUCKET, OVERLAP = 0.9, 64, 24.0
+#: Least share of random pairs at the least cosine that share a cap, and how many pairs a design is measured by.
+RECALL, TRIALS = 0.97, 2000
 #: Classes of one chunk; a task holds two chunks of one group of caps.
 CHUNK = 2048
 #: Pairs whose lists of caps are compared at once.
@@ -50,8 +55,56 @@ class Caps:
         return out[0], out[1]
 
 
-def design(n: int, cosine: float = COSINE, bucket: int = BUCKET, overlap: float = OVERLAP) -> Caps:
-    """Caps for n vectors: the inner product with a filter is about normal, and that of two vectors bivariate normal."""
+@lru_cache(maxsize=8)
+def rotation(length: int) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng([20240301, length]).standard_normal((length, length)))
+    return q * np.sign(np.diag(r))
+
+
+def tail_threshold(length: int, p: float) -> float:
+    """The sum of inner products that a random unit vector exceeds with probability p, by a histogram of the product code."""
+    halves = (length // 2, length - length // 2)
+    if length < 4:
+        return -NormalDist().inv_cdf(p)
+    # a block's inner product is sqrt(t * size) * u: t its share of the energy, u a component of a random unit vector
+    step, n = 0.01, 4 * (int(math.sqrt(length)) + 2) * 100
+    edges = (np.arange(n + 1) - n / 2) * step
+    share = (np.arange(200) + 0.5) / 200
+    log_weight = (halves[0] / 2 - 1) * np.log(share) + (halves[1] / 2 - 1) * np.log1p(-share)
+    weight = np.exp(log_weight - log_weight.max())
+    total = np.zeros(2 * n - 1)
+    for t, w in zip(share, weight / weight.sum()):
+        parts = []
+        for size, part in zip(halves, (t, 1 - t)):
+            scale = math.sqrt(size * part)
+            angle = np.arccos(np.clip(edges / scale, -1, 1))
+            fine = np.linspace(0, math.pi, 4001)
+            below = np.cumsum(np.sin(fine) ** (size - 2))
+            parts.append(-np.diff(np.interp(angle, fine, below / below[-1])))
+        size_fft = 1 << (2 * n - 1).bit_length()
+        total += w * np.fft.irfft(np.fft.rfft(parts[0], size_fft) * np.fft.rfft(parts[1], size_fft), size_fft)[: 2 * n - 1]
+    above = np.cumsum(total[::-1])[::-1]
+    at = int(np.searchsorted(-above, -p))
+    return (at - n + 1) * step
+
+
+def recall(caps: Caps, length: int, cosine: float, pairs: int = TRIALS) -> float:
+    """The share of random pairs at this cosine that share a cap."""
+    rng = np.random.default_rng([20240302, length])
+    hit = 0
+    for at in range(0, pairs, 200):
+        a, b = rng.standard_normal((2, min(200, pairs - at), length))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        (row, x), (other, y) = decode(a, caps), decode(b, caps)
+        both = np.intersect1d(row * caps.words**2 + x, other * caps.words**2 + y) // caps.words**2
+        hit += len(np.unique(both))
+    return hit / pairs
+
+
+def design(n: int, length: int, cosine: float = COSINE, bucket: int = BUCKET, overlap: float = OVERLAP) -> Caps:
+    """Caps for n vectors of a length: a first guess of the codewords by bivariate normal tails, then more until random pairs meet RECALL."""
     normal = NormalDist()
     p = min(0.05, bucket / max(n, 1))
     z = -normal.inv_cdf(p)
@@ -60,14 +113,20 @@ def design(n: int, cosine: float = COSINE, bucket: int = BUCKET, overlap: float
     density = np.exp(-grid * grid / 2) / math.sqrt(2 * math.pi)
     both = float(np.sum(density * np.array([1 - normal.cdf((z - cosine * g) / s) for g in grid])) * (grid[1] - grid[0]))
     words = max(8, math.ceil(math.sqrt(overlap / both)))
+    threshold = min(z, tail_threshold(length, p))
+    most = 8 * words if length >= 4 else words  # where more codewords don't help, wider caps do
+    if length > 1 and cosine < 1:
+        while recall(Caps(words, threshold, 1), length, cosine) < RECALL:
+            words, threshold = (math.ceil(words * 1.15), threshold) if words < most else (words, threshold - 0.1)
     ranges = max(1, math.ceil(n * p * words / CHUNK))  # a codeword and a range then gather about a chunk
-    return Caps(words, z, min(words, ranges))
+    return Caps(words, threshold, min(words, ranges))
 
 
 def decode(x: np.ndarray, caps: Caps) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every cap that holds a unit row of x, by row and filter."""
     n, length = x.shape
     one, two = caps.books(length)
+    x = x @ rotation(length)
     a = x[:, : length // 2] @ one.T if length > 1 else np.zeros((n, caps.words))
     b = x[:, length // 2 :] @ two.T
     order = np.argsort(-b, axis=1, kind="stable")
@@ -90,7 +149,7 @@ def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.float64)
 
 
-def _filed(classes: DataFrame, caps: Caps) -> DataFrame:
+def _filed(classes: DataFrame, designs: dict[int, Caps]) -> DataFrame:
     """One row for each class and group of caps: length, part, id, weight, the vector, all caps of the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +158,7 @@ def _filed(classes: DataFrame, caps: Caps) -> DataFrame:
             sizes = np.diff(offsets)
             ids, weights = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for length in np.unique(sizes):
-                at = np.flatnonzero(sizes == length)
+                at, caps = np.flatnonzero(sizes == length), designs[int(length)]
                 x = np.stack([values[offsets[k] : offsets[k + 1]] for k in at])
                 row, found = decode(x / np.linalg.norm(x, axis=1, keepdims=True), caps)
                 group = found // caps.words * caps.ranges + found % caps.words * caps.ranges // caps.words
@@ -179,7 +238,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept; so do
     vectors of different length among each other.  Rows with equal vectors always link.  Every link is exact; a pair is
-    missed only where no cap holds both (by brute force 2 to 3 % of pairs at a cosine of just 0.9, far fewer above).  Ids are meant to be
+    missed only where no cap holds both (at most 3 % of random pairs at the least cosine, as measured for the design in use).  Ids are meant to be
     unique and not null; rows without one are kept with null component and no links.
     """
     spark = vectors.sparkSession
@@ -193,13 +252,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     plain = plain.withColumn("v", F.transform("v", lambda v: v / F.array_max(F.transform("v", lambda w: F.abs(w)))))
     keyed = scratch.table(plain.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256))), "vectors")
     classes = scratch.table(keyed.where("v IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v")), "classes")
-    caps = design(classes.count(), cosine, bucket, overlap)
-    filed = scratch.table(_filed(classes.select("id", "weight", "v"), caps), "filed")
+    designs = {r.length: design(r.n, r.length, cosine, bucket, overlap) for r in classes.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).collect()}
+    filed = scratch.table(_filed(classes.select("id", "weight", "v"), designs), "filed")
     sizes = filed.groupBy("length", "part").agg(F.count("*").alias("n"))
     dealt = filed.join(sizes, ["length", "part"]).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # a row meets every chunk of its group once: the pairs (c, d) of chunks, c <= d, that hold its own
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("length", "part", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"), "chunk", "id", "weight", "vector", "caps")
-    compared = paired.groupBy("length", "part", "c", "d").applyInArrow(lambda t: _compare(t, caps, cosine), "id long, links long, root long")
+    compared = paired.groupBy("length", "part", "c", "d").applyInArrow(lambda t: _compare(t, designs[t["length"][0].as_py()], cosine), "id long, links long, root long")
     found = scratch.table(compared, "found")
     scratch.drop("filed")
     scratch.free()

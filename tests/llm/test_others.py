@@ -147,6 +147,30 @@ def test_vectors_in_chunks(spark, monkeypatch):
     assert sum(r.n_links for r in got) >= 0.97 * degree.sum() and all(r.n_links <= degree[r.vec_id] for r in got)
 
 
+def test_vectors_of_two_components(spark):
+    rows = [(k, [float(y) for y in v]) for k, v in enumerate(np.random.default_rng(6).standard_normal((60, 2)))]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sum(r.n_links for r in got) >= 0.95 * 2 * len(brute(rows))
+
+
+def test_vectors_with_uneven_halves(spark):
+    """All but a hundredth of the energy in the first components."""
+    rng = np.random.default_rng(7)
+    a, b = rng.standard_normal((2, 1500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.91 * a + np.sqrt(1 - 0.91**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.hstack([np.vstack([a, b]), 0.1 / np.sqrt(32) * np.tile(rng.standard_normal((1500, 32)), (2, 1))])
+    got = caps.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got.agg({"n_links": "sum"}).first()[0] >= 0.95 * ((u @ u.T >= 0.9).sum() - len(u))
+
+
+def test_recall_of_caps_for_many_vectors():
+    for n in (20_000, 200_000):
+        assert caps.recall(caps.design(n, 64), 64, 0.905) >= 0.96
+
+
 def test_vectors_of_awkward_rows(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0, 0.0]), (10, [1e-300, 2e-300]), (11, [1e300, 2e300]), (12, [-0.0, 1.0]), (13, [0.0, 1.0]), (None, [1.0, 2.0]), (14, [5.0])]
     got = caps.near_vectors(spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<double>, id int, key string")).collect()
