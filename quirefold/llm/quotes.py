@@ -1,8 +1,9 @@
 """Chat formatting by quotation linking.
 
 A line's quote level is the number of '>' marks before its words.  Neighbouring lines of one level are a passage.  Quoted
-passages, and in every message the passages it says itself (its whole own text, its paragraphs, its lines), are
-normalised and hashed; a quoted passage links to the message that said it first.  Messages lose their quotes and gain a
+passages, and in every message the passages it says itself (every run of its consecutive lines or sentences, so also
+its paragraphs and its whole own text), are normalised and hashed; a quoted passage links to the message that said it
+first.  Of a message's runs only those are hashed that are as long as some quoted passage.  Messages lose their quotes and gain a
 parent, and conversations that quote each other are put in one thread, in which every parent stands before its replies.
 """
 
@@ -12,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from .components import components
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _BLANK = re.compile(r"\s+")
+_END = re.compile(r"""[.!?…]+["'”’)\]]*(?= )|[。！？]+["'”’」』）]*""")
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -52,10 +55,31 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return kept, [(n, p) for n, p in passages if normal(p)]
 
 
-def said(own: str) -> set[str]:
-    """What of a message others can quote, normalised: all of it, its paragraphs, its lines."""
-    parts = {normal(own)} | {normal(p) for p in re.split(r"\n[ \t]*\n", own)} | {normal(x) for x in own.split("\n")}
-    return parts - {""}
+def units(own: str) -> tuple[str, list[int], list[int]]:
+    """(normalised text, where its lines and sentences start, where they end)."""
+    lines = [x for x in map(normal, own.split("\n")) if x]
+    starts, ends, at = [], [], 0
+    for line in lines:
+        cuts = [m.end() for m in _END.finditer(line) if m.end() < len(line)]
+        starts += [at, *(at + c + (line[c] == " ") for c in cuts)]
+        ends += [*(at + c for c in cuts), at + len(line)]
+        at += len(line) + 1
+    return " ".join(lines), starts, ends
+
+
+def said(own: str, lengths: np.ndarray | None = None) -> set[str]:
+    """What of a message others can quote, normalised: runs of its consecutive lines and sentences; only of these lengths (ascending), if given."""
+    text, starts, ends = units(own)
+    end, out = np.array(ends, np.int64), set()
+    for k, start in enumerate(starts):
+        size = end[k:] - start
+        if lengths is not None:
+            if not len(lengths):
+                break
+            size = size[: np.searchsorted(size, lengths[-1], "right")]
+            size = size[lengths[np.minimum(np.searchsorted(lengths, size), len(lengths) - 1)] == size]
+        out.update(text[start : start + n] for n in size.tolist())
+    return out
 
 
 def _hash(text: str) -> str:
@@ -82,18 +106,20 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     def quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(c, t, k, level, _hash(normal(p))) for c, t, x in zip(*(v.to_pylist() for v in b.columns)) if ">" in x for k, (level, p) in enumerate(parse(x)[1])]
+            rows = [(c, t, k, level, _hash(normal(p)), len(normal(p))) for c, t, x in zip(*(v.to_pylist() for v in b.columns)) if ">" in x for k, (level, p) in enumerate(parse(x)[1])]
             if rows:
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["conv_id", "turn", "k", "level", "hash"])
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()))], names=["conv_id", "turn", "k", "level", "hash", "chars"])
 
     def sayings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(c, t, _hash(p)) for c, t, x in zip(*(v.to_pylist() for v in b.columns)) for p in said(parse(x)[0] if ">" in x else x)]
+            rows = [(c, t, _hash(p)) for c, t, x in zip(*(v.to_pylist() for v in b.columns)) for p in said(parse(x)[0] if ">" in x else x, lengths)]
             if rows:
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], names=["conv_id", "turn", "hash"])
 
     keyed = plain.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "text")
-    quotes = scratch.table(keyed.mapInArrow(quoted, "conv_id long, turn long, k int, level int, hash string").distinct(), "quotes")
+    quotes = scratch.table(keyed.mapInArrow(quoted, "conv_id long, turn long, k int, level int, hash string, chars int").distinct(), "quotes")
+    # distinct lengths: no more numbers than the longest passage has characters
+    lengths = np.array(sorted(r.chars for r in quotes.select("chars").distinct().collect()), np.int64)
     wanted = quotes.select("hash").distinct()
     # the first in each conversation, then the first of all: both combine before they move
     sources = keyed.mapInArrow(sayings, "conv_id long, turn long, hash string").groupBy("hash", "conv_id").agg(F.min("turn").alias("turn")).join(wanted, "hash", "left_semi")

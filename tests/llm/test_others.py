@@ -95,6 +95,18 @@ def test_quotes_by_brute_force(spark):
     assert all(level == 0 or not line.strip() for r in got for level, line in quotes.levels(r.text) if r.n_quotes)
 
 
+def test_partial_quotes(spark):
+    """Some lines of a paragraph, some of the paragraphs, one sentence, a message that began with an attribution."""
+    one = "alpha one\nbeta two\ngamma three\ndelta four"
+    two = "First paragraph here.\n\nSecond one, of two lines\nand more.\n\nThird."
+    three = "Ann wrote:\n> something else\nI say no. Really? Yes! So be it."
+    quoted = [(1, "beta two\ngamma three"), (2, "First paragraph here.\n\nSecond one, of\ntwo lines and more."), (3, "Really?"), (3, "I say no. Really? Yes!\nSo be it."), (3, "Ann wrote:\n> something else\nI say no. Really? Yes! So be it."), (None, "beta"), (None, "delta four\nalpha one")]
+    rows = [(k, 1, "user", x) for k, x in enumerate((one, two, three), 1)]
+    rows += [(10 + k, 1, "user", "\n".join(f"> {line}".rstrip() for line in x.split("\n")) + "\nmy answer " + str(k)) for k, (_, x) in enumerate(quoted)]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.conv_id - 10: r.parent_conv for r in got if r.conv_id >= 10} == {k: to for k, (to, _) in enumerate(quoted)}
+
+
 def test_quotes_of_awkward_rows(spark):
     rows = [(1, 1, "user", "first words"), (1, 2, None, "> First   WORDS\nyes"), (1, 2, None, "> first words\nyes"), (None, 1, "user", "> first words"), (2, None, "user", "> first words"), (3, 1, "user", None), (4, 1, "user", ">"), (5, 1, "user", ""), (6, 1, "user", "> " + "long " * 20_000)]
     got = quotes.link_quotes(spark.createDataFrame([(*r, "x", "x") for r in rows], "conv_id long, turn long, role string, text string, hash string, parent string")).collect()
