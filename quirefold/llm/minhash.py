@@ -6,7 +6,8 @@ element can win any register it stops, so long texts cost little more than one a
 a register with the probability Jaccard similarity of the weighted shingles.
 
 Texts with equal sets of shingles form a class, of which the least doc_id stands for all.  Sketches of representatives
-are banded.  Small buckets give all their pairs.  In a larger bucket every member is compared with a hub, the member that
+are banded.  A link is defined by the sets alone, so texts that repeat shingles also give the bands of a sketch in which
+all weights are one (of other texts both sketches are the same).  Small buckets give all their pairs.  In a larger bucket every member is compared with a hub, the member that
 meets most others over all its buckets (of many copies of one text that is the text itself), and then, round after round,
 with the hubs of the components it isn't in, until a round finds no link.  That only saves work: large buckets that then
 still span components are compared in blocks, every pair of members of different components, by exact counts of common
@@ -85,6 +86,22 @@ def bands(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def all_bands(row: np.ndarray, element: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds of each row's keys, keys): bands of the weighted sketch, then those of the unweighted one that differ."""
+    keys = bands(sketches(row, element, 1 + np.log(count), n))
+    repeats = np.unique(row[count > 1])
+    per = keys.shape[1]
+    both = np.concatenate([keys, keys], 1)
+    new = np.zeros(both.shape, bool)
+    new[:, :per] = True
+    if len(repeats):
+        some = np.flatnonzero(np.isin(row, repeats))
+        plain = bands(sketches(np.searchsorted(repeats, row[some]), element[some], np.ones(len(some)), len(repeats)))
+        new[repeats, per:] = plain != keys[repeats]
+        both[repeats, per:] = plain
+    return np.append(0, np.cumsum(new.sum(1))), both[new]
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     """doc_id, set_a and set_b (128 bits of the set of shingles, null without words), keys of the bands."""
 
@@ -93,14 +110,13 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for at, to, data, offsets in slices(b.column(1)):
                 n = to - at
                 row, element, count = shingle_sets(data, offsets)
-                keys = bands(sketches(row, element, 1 + np.log(count), n))
+                bounds, keys = all_bands(row, element, count, n)
                 size = np.bincount(row, minlength=n)
                 sums = [np.zeros(n, U), np.zeros(n, U)]
                 for k, salt in enumerate((U(1), U(0x5851F42D4C957F2D))):
                     np.add.at(sums[k], row, W.mix(element ^ salt))
                 columns = [pa.array(s.view(np.int64), mask=size == 0) for s in sums]
-                per = keys.shape[1]
-                yield pa.record_batch([b.column(0).slice(at, n), *columns, pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * per, pa.int32()), pa.array(keys.ravel().view(np.int64)))], names=["doc_id", "set_a", "set_b", "bands"])
+                yield pa.record_batch([b.column(0).slice(at, n), *columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))], names=["doc_id", "set_a", "set_b", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, set_a long, set_b long, bands array<long>")
 
