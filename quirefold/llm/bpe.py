@@ -1,7 +1,8 @@
 """BPE encoding and decoding with word ends, and tree concatenation for long unsplit text.
 
-Words come from the library a distinct chunk at a time.  A pre-token longer than LEAF characters would be one long merge
-problem; it is cut into leaves that encode independently (all leaves of a batch in one parallel call), and neighbours are
+Texts fall at ASCII white space, and where ASCII letters, digits and marks meet, into chunks that encode on their own;
+the library encodes a distinct chunk once (see chunktable).  A pre-token longer than LEAF characters would be one long
+merge problem; it is cut into leaves that encode independently (all leaves of a batch in one parallel call), and neighbours are
 then concatenated level by level.  A join re-encodes a window of tokens on both sides of the seam and grows it until the
 outermost tokens of the window come back unchanged on both sides: neighbouring tokens of a BPE encoding depend on each
 other only pairwise, so the concatenation is then the encoding of the whole.
@@ -19,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts, tune
+from . import wordhash as W
+from .chunktable import ChunkTable, turns
+from .common import slices, texts, tune
 
 #: Characters of a leaf, and tokens of the first window on each side of a seam.
 LEAF, WINDOW = 512, 8
-CACHE = 300_000
-_SPACES = re.compile(r"[ \t\n\r]+")
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 _PLACE = 0xE000  # a last byte's own character, so that the merges need no word-end rule
 
 
@@ -100,7 +103,13 @@ class WordEncoder:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = {i: t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))}
         self.dtype = np.dtype("<u2") if len(self.words) <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        before = spec.get("pre_tokenizer") or {}
+        patterns = [x["pattern"].get("Regex") for x in before.get("pretokenizers", []) if x.get("type") == "Split" and x.get("invert")]
+        plain = all(not re.search(r"\s", x) for x in self.special) and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
+        #: Only a pre-tokenizer that keeps runs of letters, single numbers and runs of marks apart allows chunks.
+        self.chunked = plain and patterns == [_PATTERN] and not t.decoder
+        self.marks = [x.encode() for x in self.special]
+        self.table = ChunkTable(self._pairs, self.dtype, np.uint8)
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary file names no decoder: tokens joined by spaces."""
@@ -117,26 +126,48 @@ class WordEncoder:
                     ids += self.tree.encode(piece) if len(piece) > LEAF else [t.id for t in self.tokenizer.model.tokenize(piece)]
         return ids
 
-    def _pair(self, ids: list[int]) -> tuple[bytes, str]:
-        return np.array(ids, self.dtype).tobytes(), self.decode(ids)
+    def _pairs(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded text and a space behind it) of each."""
+        short = [k for k, c in enumerate(chunks) if len(c) <= LEAF or not self.chunked]
+        ids: list[list[int]] = [[]] * len(chunks)
+        for k, e in zip(short, self.tokenizer.encode_batch_fast([chunks[k] for k in short], add_special_tokens=False)):
+            ids[k] = e.ids
+        if len(short) < len(chunks):
+            for k, c in enumerate(chunks):
+                if len(c) > LEAF and self.chunked:
+                    ids[k] = self._long(c)
+        return [(np.array(x, self.dtype).tobytes(), self.decode(x).encode() + b" " if x else b"") for x in ids]
+
+    def runs(self, column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first row, last row + 1, ids of these rows, bounds of each row's; decoded bytes with a space after each chunk, their bounds)."""
+        for at, to, data, offsets in slices(column, SLICE):
+            if self.chunked:
+                starts, ends, _ = W.word_bounds(data, offsets)
+                inside = np.flatnonzero(turns(data, self.marks))
+                starts, ends = np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([ends, inside]))
+            else:
+                full = np.diff(offsets) > 0
+                starts, ends = offsets[:-1][full], offsets[1:][full]
+            places = self.table.lookup(data, starts, ends)
+            first = np.searchsorted(starts, offsets)
+            out = [at, to]
+            for store in self.table.results:
+                flat, bounds = store.take(places)
+                out += [flat, bounds[first]]
+            yield tuple(out)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as bytes, decoded text) of each."""
-        cut = [_SPACES.split(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {"": (b"", "")}
-        new = list({c for chunks in cut for c in chunks} - self.cache.keys())
-        short = [c for c in new if len(c) <= LEAF]
-        for c, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False)):
-            self.cache[c] = self._pair(e.ids)
-        longer = {c: self._pair(self._long(c)) for c in new if len(c) > LEAF}
-        out, cache = [], self.cache
-        for chunks in cut:
-            got = [cache.get(c) or longer[c] for c in chunks]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
+        out = []
+        for _, _, ids, a, text, b in self.runs(pa.array(texts, pa.large_string())):
+            out += [(ids[a[k] : a[k + 1]].tobytes(), text[b[k] : max(b[k], b[k + 1] - 1)].tobytes().decode()) for k in range(len(a) - 1)]
         return out
 
 
+#: The pattern of the pre-tokenizer that texts can be cut for: fixed by the format of word_bpe files.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -155,14 +186,17 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer_path)
-        for b in batches:
-            got = code.encode(b.column(1).to_pylist())
-            ids = [np.frombuffer(x[0], code.dtype).astype("<u4").tobytes() for x in got]
-            columns = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            if digests:
-                columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in got], pa.string())]
-            else:
-                columns += [pa.array(ids, pa.binary()), pa.array([x[1] for x in got], pa.string())]
-            yield pa.record_batch(columns, names=[c.split()[0] for c in (DIGESTS if digests else SCHEMA).split(", ")])
+        names = [c.split()[0] for c in (DIGESTS if digests else SCHEMA).split(", ")]
+        for batch in batches:
+            for at, to, ids, a, text, b in code.runs(batch.column(1)):
+                wide, n = ids.astype("<u4"), np.diff(a)
+                stops = np.maximum(b[:-1], b[1:] - 1)  # without the space at the end
+                if digests:
+                    words, chars = memoryview(wide).cast("B"), memoryview(text)
+                    columns = [[hashlib.sha256(words[4 * x : 4 * y]).hexdigest() for x, y in zip(a[:-1].tolist(), a[1:].tolist())], [hashlib.sha256(chars[x:y]).hexdigest() for x, y in zip(b[:-1].tolist(), stops.tolist())]]
+                    columns = [pa.array(c, pa.string()) for c in columns]
+                else:
+                    columns = [pa.array([wide[x:y].tobytes() for x, y in zip(a[:-1], a[1:])], pa.binary()), pa.array([text[x:y].tobytes().decode() for x, y in zip(b[:-1], stops)], pa.string())]
+                yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(n), *columns], names=names)
 
     return texts(docs, id_col, text_col).mapInArrow(run, DIGESTS if digests else SCHEMA)
