@@ -23,7 +23,7 @@ from .bytebpe import encoder
 from .common import texts, tune
 
 #: Ids that one run of the program looks at; what follows the last cut but one is carried into the next run.
-RUN_IDS = 1 << 20
+RUN_IDS = 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 _SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
@@ -152,7 +152,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(tokenizer_path, length, sentence_penalty, break_penalty, sequence_cost, spacing)
-        dtype, end = packer.code.dtype, np.array([end_id], packer.code.dtype).tobytes()
         base, rows = TaskContext.get().partitionId() << 33, []
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -165,11 +164,13 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=_SCHEMA)
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), packer.code.encode(b.column(1).to_pylist())):
-                rows.extend(packer.add(doc_id, np.frombuffer(ids + end, dtype)))
-                if len(rows) >= 20_000:  # a run gives whole sequences only
-                    yield table(rows)
-                    rows = []
+            doc_ids = b.column(0).to_pylist()
+            for at, to, ids, bounds in packer.code.runs(b.column(1), end_id):
+                for k in range(at, to):
+                    rows.extend(packer.add(doc_ids[k], ids[bounds[k - at] : bounds[k - at + 1]]))
+                    if len(rows) >= 20_000:  # a run gives whole sequences only
+                        yield table(rows)
+                        rows = []
         rows.extend(packer.run(last=True))
         if rows:
             yield table(rows)
