@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import filesystem, texts, tune
+from .common import filesystem, qualified, texts, tune
 
 MANIFEST = "shard int, tokens_file string, docs_file string, n_docs long, n_ids long, n_sequences long"
 
@@ -46,22 +46,19 @@ class ShardWriter:
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.tokens, self.docs = pa.ipc.new_file(self.files[0], tokens), pa.ipc.new_file(self.files[1], self.docs_schema)
         self.schema, self.parts, self.held, self.n_ids, self.n_docs, self.n_seq = tokens, [], 0, 0, 0, 0
-        self.rows: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        n = len(ids) // self.dtype.itemsize
-        self.rows.append((doc_id, self.n_ids, n))
-        self.n_ids += n
-        self.n_docs += 1
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents in order: their ids one after another, with the bounds of each."""
+        self.docs.write_batch(pa.record_batch([doc_ids, pa.array(bounds[:-1] + self.n_ids), pa.array(np.diff(bounds))], schema=self.docs_schema))
+        self.n_ids += len(ids)
+        self.n_docs += len(doc_ids)
         self.parts.append(ids)
-        self.held += n
+        self.held += len(ids)
         if self.held >= self.size:
             self._flush(self.held // self.size * self.size)
-        if len(self.rows) >= 50_000:
-            self._flush_docs()
 
     def _flush(self, take: int) -> None:
-        flat = np.frombuffer(b"".join(self.parts), self.dtype)
+        flat = np.concatenate(self.parts)
         for at in range(0, take, self.size):
             part = flat[at : at + self.size]
             real = len(part)
@@ -70,17 +67,11 @@ class ShardWriter:
                 part = np.concatenate([part, np.zeros(full - real, self.dtype)])
             self.tokens.write_batch(pa.record_batch([fixed(part, self.length), fixed(np.arange(full) < real, self.length)], schema=self.schema))
             self.n_seq += full // self.length
-        self.parts, self.held = ([flat[take:].tobytes()], self.held - take) if self.held > take else ([], 0)
-
-    def _flush_docs(self) -> None:
-        if self.rows:
-            self.docs.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in zip(*self.rows)], schema=self.docs_schema))
-            self.rows = []
+        self.parts, self.held = ([flat[take:].copy()], self.held - take) if self.held > take else ([], 0)
 
     def close(self) -> None:
         if self.held:
             self._flush(self.held)
-        self._flush_docs()
         for x in (self.tokens, self.docs, *self.files):
             x.close()
 
@@ -89,8 +80,9 @@ class TokenShard:
     """Random access to the sequences of a shard's token file; on a local path the arrays are views of the mapped file."""
 
     def __init__(self, uri: str) -> None:
+        uri = f"file://{uri}" if uri.startswith("/") else uri
         store, path = filesystem(uri)
-        local = uri.startswith(("/", "file:"))
+        local = uri.startswith("file:")
         self.reader = pa.ipc.open_file(pa.memory_map(path) if local else store.open_input_file(path))
         self.length = self.reader.schema.field("ids").type.list_size
         self.batch = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 0
@@ -125,16 +117,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """
     spark = docs.sparkSession
     tune(spark)
+    folder = qualified(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, out = encoder(tokenizer_path), None
-        end = np.array([end_id], code.dtype).tobytes()
         for b in batches:
             if out is None:
                 shard = TaskContext.get().partitionId()
                 out = ShardWriter(f"{folder}/shards", f"{shard:06d}-{uuid.uuid4().hex[:12]}", code.dtype, length, batch)
-            for doc_id, ids in zip(b.column(0).to_pylist(), code.encode(b.column(1).to_pylist())):
-                out.add(doc_id, ids + end)
+            for at, to, ids, bounds in code.runs(b.column(1), end_id):
+                out.add(b.column(0).slice(at, to - at), ids, bounds)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "tokens_file": out.names[0], "docs_file": out.names[1], "n_docs": out.n_docs, "n_ids": out.n_ids, "n_sequences": out.n_seq}], schema=pa.schema([("shard", pa.int32()), ("tokens_file", pa.string()), ("docs_file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_sequences", pa.int64())]))
@@ -145,7 +137,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document, from the files alone: doc_id, start in the whole corpus, n_tokens, ids_crc32, shard, shard_start."""
+    """Per document, from the files alone: doc_id, start in the whole corpus, n_tokens, ids_crc32, shard, shard_start.
+
+    A task reads one shard, whatever its name's bytes are.  Repeated and null ids come back as they were written, in the
+    order of the files; an empty manifest gives no rows.
+    """
+    folder = qualified(spark, folder)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # one row for each shard: their number follows the number of write tasks, not the corpus
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -175,4 +172,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             start = docs.column("start").to_numpy()
             yield pa.record_batch([docs.column("doc_id"), pa.array(start + row["base"]), docs.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(np.full(len(start), row["shard"], np.int32)), pa.array(start)], schema=schema)
 
-    return based.repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, shard_start long")
+    # a number that is given stays: adaptive execution would put all of the few small rows into one task
+    return based.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, shard_start long")

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -7,13 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, bytebpe, packing, tokenfile
+from quirefold.llm import bpe, bytebpe, chunktable, packing, tokenfile
 from quirefold.llm.common import Scratch
 
 from ..conftest import SMALL
 from .tables import awkward, nothing
 
 PARTS = ["a", "B", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'s", "'", "!", "1", "23", "é", "漢", " ", "\x1c", "<|endoftext|>", "<|startoftext|>", "\r", "-", "😀", "é", "\x00", "﻿", "ſ", "İ", " "]
+PARTS += ["\v", "\f", "\x85", "\xa0", "#", "-x", "5a", "…", "²", "<|STARTOFTEXT|>"]
 
 
 def mixed(seed: int, n: int) -> list[str]:
@@ -45,16 +47,39 @@ def test_byte_encoder_equals_the_library(library):
     ids, _ = library
     code = bytebpe.encoder(bytebpe.default_path())
     batch = mixed(1, 4000) + ["a b " * 300, " " * 50, "x" * 3000]
-    assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(batch)] == [ids(bytebpe, t) for t in batch]
+    assert [x.tolist() for x in code.encode(batch)] == [ids(bytebpe, t) for t in batch]
 
 
-def test_byte_encoder_with_a_full_cache(library, monkeypatch):
-    ids, _ = library
-    monkeypatch.setattr(bytebpe, "CACHE", 10)
-    code = bytebpe.ByteEncoder(bytebpe.default_path())
+@pytest.mark.parametrize("room", ["full", "begun anew", "equal hashes"])
+def test_encoders_with_a_poor_table(library, monkeypatch, room):
+    ids, words = library
+    monkeypatch.setattr(chunktable, "CHUNKS", 1_000_000 if room == "equal hashes" else 20)
+    monkeypatch.setattr(chunktable, "LEAST_FOUND", 0.0 if room == "full" else 1.1)
+    if room == "equal hashes":
+        monkeypatch.setattr(chunktable.W, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    byte, word = bytebpe.ByteEncoder(bytebpe.default_path()), bpe.WordEncoder(bpe.default_path())
     for k in range(5):
-        batch = mixed(100 + k, 50)
-        assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(batch)] == [ids(bytebpe, t) for t in batch]
+        batch = mixed(100 + k, 60)
+        assert [x.tolist() for x in byte.encode(batch)] == [ids(bytebpe, t) for t in batch]
+        for (x, decoded), t in zip(word.encode(batch), batch):
+            want = ids(bpe, t)
+            assert np.frombuffer(x, word.dtype).tolist() == want and decoded == words.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("change", ["pre_tokenizer", "normalizer", "added"])
+def test_other_tokenizer_files_get_whole_texts(tmp_path, change):
+    spec = json.load(open(bytebpe.default_path(), encoding="utf-8"))
+    if change == "pre_tokenizer":
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+    elif change == "normalizer":
+        spec["normalizer"] = {"type": "Replace", "pattern": {"String": "a B"}, "content": "b"}
+    else:
+        spec["added_tokens"].append({"id": 50257, "content": "B a", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    path = str(tmp_path / "t.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    code = bytebpe.ByteEncoder(path)
+    batch = [*mixed(11, 300), "a B a B a", "B a. a Ba B"]
+    assert not code.chunked and [x.tolist() for x in code.encode(batch)] == [code.tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
 
 
 @pytest.mark.parametrize("source", ["documents", "awkward", "nothing"])
