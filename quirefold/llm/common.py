@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch; texts of a few KB then make batches of a few MB.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch that a Python worker gets (one larger row makes a batch of its own).
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 #: Bytes of text that the vectorised helpers look at together; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -23,23 +24,39 @@ SLICE_BYTES = 4 << 20
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small: Python workers live in what the heap leaves of an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session within one process (tests) gets a temporary folder; on a cluster this is an error.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quirefold-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's full URI: without a scheme it lies in Hadoop's default store, as Spark's own writers take it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 class Scratch:
-    """A folder of written tables; each cuts the lineage and outlives lost executors."""
+    """A folder of written tables; each cuts the lineage and outlives lost executors.  It goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -64,10 +81,10 @@ class Scratch:
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's view of a folder in the shared store, for executors that write or read parts of files there."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
     if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri[5:] if not uri.startswith("file://") else uri[7:]
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        raise ValueError(f"{uri} has no scheme: give the URI that qualified() makes of it")
     return pafs.FileSystem.from_uri(uri)
 
 
