@@ -1,11 +1,17 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-Only suffixes that can repeat enter a tree.  Every window of `width` words holds a window of half as many words whose
-hash is the least in it; that label is the prefix under which the suffix is filed, and labels of one document alone are
-dropped (equal windows have equal labels).  Under each label lie the suffixes of a tree cut at depth `width`: its deep
-nodes are the classes of equal windows, and a node needs nothing of its leaves but the least document.  Nodes are
-therefore built by a combinable aggregation: however many documents share a passage, no task meets all its leaves, and a
-join that Spark may split takes the least document back to the leaves.  Runs of marked windows are the maximal repeats.
+A repeat is a window of `width` words that starts in two documents.  Of all half windows (width / 2 words) inside a window
+the one with the least hash is its anchor: equal windows have equal anchors at equal places, so only suffixes that start at
+anchors enter trees, filed by their first width / 2 words.  Prefixes that only one document holds give no repeat and are
+dropped before any text moves.
+
+* Prefixes of up to GROUP suffixes: all suffixes of some prefixes fit a task's memory.  A tree grows word by word from the
+  prefix to the right, another one from the same place to the left.  A window is a pair of nodes, one of each tree, whose
+  depths add up to `width`: an internal node of that depth with leaves of several documents is a repeat, and successive
+  windows of such nodes are a maximal one.  Words are compared as bytes, so equal hashes of different words do no harm.
+* A prefix with more suffixes is made longer, to the whole window: there the node alone remains of the subtree, known by 128
+  bits of hash, and all it needs of its leaves is the least document, an aggregation that combines before it moves.  However
+  many documents share a passage, no task meets all its leaves.
 """
 
 from __future__ import annotations
@@ -24,89 +30,246 @@ from . import wordhash as W
 from .common import Scratch, slices, texts, tune
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+#: Suffixes of one prefix that a task builds a tree of; a prefix with more is made longer.
+GROUP = 2048
+#: Bytes of text of the suffixes whose trees are built together.
+TREE_BYTES = 2 << 20
+_LOW = W.U(0xFFFFFFFF)
+SUFFIXES = "label long, doc_id long, mark long, start int, before int, windows int, words string"
+LEAVES = "node_a long, node_b long, doc_id long, mark long, start int"
 
 
-def _suffixes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows inside one text: row, word of the text at which it starts, label, window hash; and words before each row."""
-    starts, ends, first = W.word_bounds(data, offsets)
-    h = W.word_hashes(data, starts, ends)
+def _anchors(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one text with one anchor: row, first window, windows of the run, anchor; and the half windows' hashes."""
     half = width // 2
-    label = W.sliding_min(W.windows(h, half), width - half + 1)
+    halves = W.windows(h, half)
+    # by the upper 32 bits of the hash, then the leftmost: a place that the window's words alone decide
+    key = (halves & ~_LOW) | np.arange(len(halves), dtype=W.U)
+    anchor = (W.sliding_min(key, width - half + 1) & _LOW).astype(np.int64)
     row, ok = W.owners(first, width, len(h))
-    row = row[ok]
-    return row, np.flatnonzero(ok) - first[row], label[ok], W.windows(h, width)[ok], first
+    at = np.flatnonzero(ok)
+    row, anchor = row[at], anchor[at]
+    begin = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))) if len(at) else at
+    return row[begin], at[begin], np.diff(np.append(begin, len(at))), anchor[begin], halves
 
 
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def _labels(docs: DataFrame, width: int) -> DataFrame:
+    """label (hash of a prefix), doc_id, mark, n (anchors): of docs(doc_id, text, mark)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, to, data, offsets in slices(b.column(1)):
-                row, _, label, _, _ = _suffixes(data, offsets, width)
-                pair = np.unique(np.stack([row.astype(np.uint64), label], 1), axis=0) if len(row) else np.empty((0, 2), np.uint64)
-                ids = b.column(0).slice(at, to - at).to_numpy()
-                yield pa.record_batch([_signed(np.ascontiguousarray(pair[:, 1])), pa.array(ids[pair[:, 0].astype(np.int64)], pa.int64())], names=["label", "doc_id"])
+                starts, ends, first = W.word_bounds(data, offsets)
+                row, _, _, anchor, halves = _anchors(W.word_hashes(data, starts, ends), first, width)
+                label = halves[anchor]
+                order = np.lexsort((label, row))
+                row, label = row[order], label[order]
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (label[1:] != label[:-1]))) if len(row) else order
+                place = pa.array(row[new])
+                yield pa.record_batch([_signed(label[new]), b.column(0).slice(at, to - at).take(place), b.column(2).slice(at, to - at).take(place), pa.array(np.diff(np.append(new, len(row))).astype(np.int32))], names=["label", "doc_id", "mark", "n"])
 
-    return docs.mapInArrow(run, "label long, doc_id long")
+    return docs.mapInArrow(run, "label long, doc_id long, mark long, n int")
 
 
-def marked_windows(docs: DataFrame, scratch: Scratch, width: int = 50) -> DataFrame:
-    """doc_id and `starts`: the words, in order, at which its windows start that start in a smaller document too."""
-    labels = _labels(docs, width)
-    shared = labels.groupBy("label").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    # a document has at most as many labels as words: this array is never longer than its text
-    filed = scratch.table(labels.join(shared.select("label"), "label").groupBy("doc_id").agg(F.collect_list("label").alias("labels")), "labels")
-    scratch.free()
+def _member(lists: pa.ListArray, at: int, to: int, row: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Whether each label is in its row's list."""
+    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    own = np.repeat(np.arange(to - at), np.diff(bounds[at : to + 1]))
+    keys = np.sort(values[bounds[at] : bounds[to]] ^ W.mix(own.astype(np.uint64)))
+    key = label ^ W.mix(row.astype(np.uint64))
+    return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
+
+
+def _suffixes(docs: DataFrame, width: int) -> DataFrame:
+    """Of docs(doc_id, text, mark, labels): the suffixes at anchors with these labels, and the words to both sides that their windows reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, to, data, offsets in slices(b.column(1)):
+                starts, ends, first = W.word_bounds(data, offsets)
+                row, window, count, anchor, halves = _anchors(W.word_hashes(data, starts, ends), first, width)
+                hit = _member(b.column(3), at, to, row, halves[anchor])
+                row, window, count, anchor = row[hit], window[hit], count[hit], anchor[hit]
+                if not len(row):
+                    continue
+                place, whole = pa.array(row), data.tobytes()
+                words = [whole[x:y] for x, y in zip(starts[window].tolist(), ends[window + count + width - 2].tolist())]
+                columns = [pa.array(x.astype(np.int32)) for x in (window - first[row], anchor - window, count)]
+                yield pa.record_batch([_signed(halves[anchor]), b.column(0).slice(at, to - at).take(place), b.column(2).slice(at, to - at).take(place), *columns, pa.array(words, pa.binary()).cast(pa.string())], names=[c.split()[0] for c in SUFFIXES.split(", ")])
+
+    return docs.mapInArrow(run, SUFFIXES)
+
+
+def _leaves(docs: DataFrame, width: int) -> DataFrame:
+    """Of docs(doc_id, text, mark, labels): every window whose anchor has one of these labels, by its node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(2)
-            values, bounds = wanted.values.to_numpy().view(np.uint64), wanted.offsets.to_numpy()
             for at, to, data, offsets in slices(b.column(1)):
-                row, start, label, window, _ = _suffixes(data, offsets, width)
-                own = np.repeat(np.arange(to - at), np.diff(bounds[at : to + 1]))
-                keys = np.sort(values[bounds[at] : bounds[to]] ^ W.mix(own.astype(np.uint64)))
-                key = label ^ W.mix(row.astype(np.uint64))
-                hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
-                ids = b.column(0).slice(at, to - at).to_numpy()
-                yield pa.record_batch([_signed(window[hit]), pa.array(ids[row[hit]], pa.int64()), pa.array(start[hit].astype(np.int32))], names=["node", "doc_id", "start"])
-
-    leaves = scratch.table(docs.join(filed, "doc_id").select("doc_id", "text", "labels").mapInArrow(run, "node long, doc_id long, start int"), "leaves")
+                starts, ends, first = W.word_bounds(data, offsets)
+                h = W.word_hashes(data, starts, ends)
+                row, window, count, anchor, halves = _anchors(h, first, width)
+                hit = _member(b.column(3), at, to, row, halves[anchor])
+                row, window = np.repeat(row[hit], count[hit]), np.repeat(window[hit], count[hit]) + _counting(count[hit])
+                place = pa.array(row)
+                nodes = [_signed(W.windows(x, width)[window]) for x in (h, W.mix(h ^ W.U(0x5851F42D4C957F2D)))]
+                yield pa.record_batch([*nodes, b.column(0).slice(at, to - at).take(place), b.column(2).slice(at, to - at).take(place), pa.array((window - first[row]).astype(np.int32))], names=[c.split()[0] for c in LEAVES.split(", ")])
+
+    return docs.mapInArrow(run, LEAVES)
+
+
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Equal numbers for words of equal bytes."""
+    h = W.word_hashes(data, starts, ends)
+    _, model, number = np.unique(h, return_index=True, return_inverse=True)
+    sizes, other = ends - starts, model[number]
+    same = sizes == sizes[other]
+    if same.all():
+        at = _counting(sizes)
+        same = (data[np.repeat(starts, sizes) + at] == data[np.repeat(starts[other], sizes) + at]).all()
+    if np.all(same):
+        return number
+    whole, known = data.tobytes(), {}
+    return np.array([known.setdefault(whole[x:y], len(known)) for x, y in zip(starts.tolist(), ends.tolist())])
+
+
+def _grow(root: np.ndarray, words: np.ndarray, place: np.ndarray, step: int, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """Node of each suffix (row) at each depth (column) of a tree: nodes are numbered over all depths, -1 beyond a suffix's end."""
+    out = np.full((len(root), depth + 1), -1, np.int64)
+    out[:, 0] = root
+    base, size = int(root.max(initial=-1)) + 1, int(words.max(initial=0)) + 1
+    open_ = np.arange(len(root))
+    for k in range(1, depth + 1):
+        open_ = open_[lengths[open_] >= k]
+        if not len(open_):
+            break
+        child, node = np.unique(out[open_, k - 1] * size + words[place[open_] + step * (k - 1)], return_inverse=True)
+        out[open_, k] = base + node
+        base += len(child)
+    return out
+
+
+def repeats(label: np.ndarray, doc: np.ndarray, before: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that a smaller document holds too: (suffix, first window of the suffix, last one).
+
+    Suffixes come by label, with all of a label; `before` words of their text precede the prefix, `count` windows reach it.
+    """
+    half = width // 2
+    starts, ends, first = W.word_bounds(data, offsets)
+    words = word_numbers(data, starts, ends)
+    place = first[:-1] + before
+    group = np.cumsum(np.append(0, label[1:] != label[:-1]))
+    prefix = words[place[:, None] + np.arange(half)]
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    if (prefix != prefix[head[group]]).any():  # one hash of different prefixes
+        group = np.unique(np.column_stack([group, prefix]), axis=0, return_inverse=True)[1].ravel()
+    rest = width - half
+    right = _grow(group, words, place + half, 1, rest - before + count - 1, rest)
+    left = _grow(group, words, place - 1, -1, before, rest)
+    suffix, window = np.repeat(np.arange(len(label)), count), _counting(count)
+    depth = before[suffix] - window  # words to the left of the prefix
+    node = left[suffix, depth] * (int(right.max(initial=0)) + 1) + right[suffix, rest - depth]
+    order = np.argsort(node, kind="stable")
+    edge = np.flatnonzero(np.append(True, np.diff(node[order]) != 0))
+    least = np.repeat(np.minimum.reduceat(doc[suffix[order]], edge), np.diff(np.append(edge, len(order))))
+    marked = np.zeros(len(node), bool)
+    marked[order] = doc[suffix[order]] > least
+    run = np.flatnonzero(marked)
+    begins = np.flatnonzero(np.append(True, (np.diff(run) != 1) | (np.diff(suffix[run]) != 0))) if len(run) else run
+    stops = (np.append(begins[1:], len(run)) - 1)[: len(begins)]
+    return suffix[run[begins]], window[run[begins]], window[run[stops]]
+
+
+def _trees(suffixes: DataFrame, width: int) -> DataFrame:
+    """doc_id, mark, from_start, to_start: runs of windows that a smaller document holds too; of suffixes sorted by label."""
+    names = ["doc_id", "mark", "from_start", "to_start"]
+
+    def build(t: pa.Table) -> pa.RecordBatch:
+        label, doc, before, count, start = (t[c].to_numpy() for c in ("label", "doc_id", "before", "windows", "start"))
+        texts_ = t["words"].combine_chunks().cast(pa.large_string())
+        size = len(texts_)
+        offsets = np.frombuffer(texts_.buffers()[1], np.int64, size + 1, texts_.offset * 8)
+        data = np.frombuffer(texts_.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        parts = repeats(label, doc, before.astype(np.int64), count.astype(np.int64), data, offsets - offsets[0], width)
+        which = pa.array(parts[0])
+        return pa.record_batch([t["doc_id"].combine_chunks().take(which), t["mark"].combine_chunks().take(which), *(pa.array((start[parts[0]] + x).astype(np.int32)) for x in parts[1:])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.nbytes
+            if size >= TREE_BYTES:
+                t = pa.Table.from_batches(held)
+                label = t["label"].to_numpy()
+                edge = int(np.searchsorted(label, label[-1]))  # the last label may go on in the next batch
+                if edge:
+                    yield build(t.slice(0, edge))
+                    held = t.slice(edge).combine_chunks().to_batches()
+                    size = sum(x.nbytes for x in held)
+        if held:
+            yield build(pa.Table.from_batches(held))
+
+    return suffixes.repartition("label").sortWithinPartitions("label").mapInArrow(run, "doc_id long, mark long, from_start int, to_start int")
+
+
+def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = 50) -> DataFrame:
+    """doc_id, mark and `spans`: runs (first, last start) of windows that start in a smaller document too; of docs(doc_id, text, mark)."""
+    labels = scratch.table(_labels(docs, width), "labels")
+    shared = labels.groupBy("label").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("n")).where("least < most").select("label", (F.col("n") > GROUP).alias("long"))
+    # a text has at most as many labels as words: these arrays are never longer than it
+    of_text = labels.join(shared, "label").groupBy("doc_id", "mark").agg(F.collect_set(F.when(~F.col("long"), F.col("label"))).alias("labels"), F.collect_set(F.when(F.col("long"), F.col("label"))).alias("long_labels"))
+    filed = scratch.table(docs.join(of_text, ["doc_id", "mark"]).select("doc_id", "text", "mark", "labels", "long_labels"), "filed")
     scratch.free()
-    # written, so that the join below has exchanges of its own, whose hot nodes Spark can split
-    nodes = scratch.table(leaves.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node", "least"), "nodes")
+    spans = scratch.table(_trees(_suffixes(filed.where("size(labels) > 0").select("doc_id", "text", "mark", "labels"), width), width), "spans")
     scratch.free()
-    marked = leaves.join(nodes, "node").where("doc_id > least").groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    out = scratch.table(marked, "marked")
+    leaves = scratch.table(_leaves(filed.where("size(long_labels) > 0").select("doc_id", "text", "mark", "long_labels"), width), "leaves")
+    # written, so that the join below has exchanges of its own, whose hot nodes Spark can split
+    nodes = scratch.table(leaves.groupBy("node_a", "node_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node_a", "node_b", "least"), "nodes")
+    found = leaves.join(nodes, ["node_a", "node_b"]).where("doc_id > least").select("doc_id", "mark", F.col("start").alias("from_start"), F.col("start").alias("to_start"))
+    out = scratch.table(spans.unionByName(found).groupBy("doc_id", "mark").agg(F.collect_list("from_start").alias("froms"), F.collect_list("to_start").alias("tos")), "repeated")
     scratch.free()
-    scratch.drop("leaves", "labels", "nodes")
+    scratch.drop("labels", "filed", "spans", "leaves", "nodes")
     return out
 
 
-def _apply(docs: DataFrame, marked: DataFrame, width: int, texts_too: bool) -> DataFrame:
+def _apply(docs: DataFrame, repeated: DataFrame, width: int, texts_too: bool) -> DataFrame:
     more = [c for c in docs.columns if c == "carried"]
-    joined = docs.join(marked.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "starts", *more)
+    joined = docs.join(repeated.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"}), (F.col("doc_id") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "froms", "tos", *more)
     schema = RESULT + (", kept string" if texts_too else "")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for doc_id, text, froms, tos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 words = text.encode().split()  # at the same bytes as the windows
                 n, removed = len(words), 0
-                if starts.is_valid:
-                    gone = W.cover(starts.values.to_numpy().astype(np.int64), width, n)
+                if froms.is_valid:
+                    steps = np.zeros(n + 1, np.int64)
+                    np.add.at(steps, froms.values.to_numpy(), 1)
+                    np.add.at(steps, tos.values.to_numpy() + width, -1)
+                    gone = np.cumsum(steps)[:n] > 0
                     removed = int(gone.sum())
                     words = list(compress(words, (~gone).tolist()))
                 kept = b" ".join(words)
                 rows.append((doc_id, n, removed, hashlib.sha256(kept).hexdigest(), *([(kept.decode() if removed else text)] if texts_too else [])))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)] + [b.column(3 + k) for k in range(len(more))], names=names + more)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)] + [b.column(4 + k) for k in range(len(more))], names=names + more)
 
     return joined.mapInArrow(run, StructType(StructType.fromDDL(schema).fields + [docs.schema[c] for c in more]))
 
@@ -116,16 +279,16 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     Windows are judged on the input.  Per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by
     one space) and on demand the text: unchanged where nothing is removed, else the kept words joined by one space.  Null
-    and empty texts have no words.  Rows with one id are parts of one document for the comparison, each keeps its own
-    windows of that document's marks; ids are meant to be unique.  Null ids are never smaller than another: such rows
-    keep their words.  Columns named by carry come back in the struct `carried`.
+    and empty texts have no words.  Rows with one id are parts of one document: they aren't compared with each other, and
+    each keeps its own result.  Null ids are never smaller or larger than another: such rows keep their words.  Columns
+    named by carry come back in the struct `carried`; an empty table stays empty.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "substring")
-    plain = texts(docs, id_col, text_col, *([F.struct(*carry).alias("carried")] if carry else []))
-    marked = marked_windows(plain.select("doc_id", "text").where("doc_id IS NOT NULL"), scratch, width)
-    return _apply(plain, marked, width, texts_too)
+    plain = texts(docs, id_col, text_col, *([F.struct(*carry).alias("carried")] if carry else [])).withColumn("mark", F.xxhash64("text"))
+    repeated = repeated_windows(plain.select("doc_id", "text", "mark").where("doc_id IS NOT NULL"), scratch, width)
+    return _apply(plain, repeated, width, texts_too)
 
 
 SQL = """

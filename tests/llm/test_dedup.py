@@ -130,14 +130,32 @@ def test_substrings_by_sql(spark, duck):
     same_rows(substring.remove_repeats(spark.read.parquet(f"{SMALL}/documents.parquet")), duck, substring.SQL)
 
 
-@pytest.mark.parametrize("width", [2, 5, 7])
-def test_substrings_by_brute_force(spark, width):
+@pytest.mark.parametrize("width, group, size", [(2, 2048, 1), (5, 2048, 2 << 20), (7, 6, 2000), (8, 0, 1), (9, 40, 500)])
+def test_substrings_by_brute_force(spark, width, group, size, monkeypatch):
+    """Trees of all prefixes, of some while others are made longer, and of none; some texts under two ids, some ids with two texts."""
+    monkeypatch.setattr(substring, "GROUP", group)
+    monkeypatch.setattr(substring, "TREE_BYTES", size)
     rng = random.Random(width)
     docs = [(k, rng.choice(["", " ", "\n"]).join([" ".join(rng.choice("abc") for _ in range(rng.randint(0, 25))), "  \t é "])) for k in range(60)] + [(60, None), (61, "")]
     got = substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), width).collect()
     assert sorted(map(tuple, got)) == sorted(removed(docs, width))
 
 
+def test_substrings_of_one_id_with_other_texts(spark):
+    t = words(random.Random(3), 80)
+    got = substring.remove_repeats(spark.createDataFrame([(1, t), (2, t), (2, "quite other short text here")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 80, 0), (2, 5, 0), (2, 80, 80)]
+
+
+def test_trees_with_equal_hashes_of_other_words(monkeypatch):
+    """All words of one length share a hash: bytes decide."""
+    monkeypatch.setattr(substring.W, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    texts = [b"a b c d", b"a b x d", b"a b c d", b"q b c d"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.arange(5) * 7
+    got = substring.repeats(np.zeros(4, np.int64), np.arange(4), np.full(4, 1), np.full(4, 1), data, offsets, 4)
+    assert [x.tolist() for x in got] == [[2], [0], [0]]
+
+
 def test_substrings_of_awkward_rows(spark):
     got = substring.remove_repeats(awkward(spark), texts_too=True).collect()
     by = {r.doc_id: r for r in got}
