@@ -5,13 +5,16 @@ the one with the least hash is its anchor: equal windows have equal anchors at e
 anchors enter trees, filed by their first width / 2 words.  Prefixes that only one document holds give no repeat and are
 dropped before any text moves.
 
-* Prefixes of up to GROUP suffixes: all suffixes of some prefixes fit a task's memory.  A tree grows word by word from the
-  prefix to the right, another one from the same place to the left.  A window is a pair of nodes, one of each tree, whose
-  depths add up to `width`: an internal node of that depth with leaves of several documents is a repeat, and successive
-  windows of such nodes are a maximal one.  Words are compared as bytes, so equal hashes of different words do no harm.
-* A prefix with more suffixes is made longer, to the whole window: there the node alone remains of the subtree, known by 128
-  bits of hash, and all it needs of its leaves is the least document, an aggregation that combines before it moves.  However
-  many documents share a passage, no task meets all its leaves.
+A tree grows word by word from the prefix to the right, another one from the same place to the left.  A window is a pair
+of nodes, one of each tree, whose depths add up to `width`: an internal node of that depth with leaves of several documents
+is a repeat, and successive windows of such nodes are a maximal one.  Words are compared as bytes, so equal hashes of
+different words do no harm.
+
+All suffixes of some prefixes fit a task's memory, unless a prefix has more than GROUP.  Those of such a prefix are dealt to
+parts of about GROUP, each with its trees, which settle all leaves but those of a node's least document in the part.  For
+these the prefix is made longer, to the whole window: of its subtree there the node alone is left, known by 128 bits of hash,
+and its least document over all parts, an aggregation that combines before it moves.  However many documents share a
+passage, no task meets all its leaves, and only a part's least document of a node goes on.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ from . import wordhash as W
 from .common import Scratch, slices, texts, tune
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-#: Suffixes of one prefix that a task builds a tree of; a prefix with more is made longer.
+#: Suffixes of one prefix that are put into one tree; a prefix with more is dealt to parts.
 GROUP = 2048
 #: Bytes of text of the suffixes whose trees are built together.
 TREE_BYTES = 2 << 20
 _LOW = W.U(0xFFFFFFFF)
-SUFFIXES = "label long, doc_id long, mark long, start int, before int, windows int, words string"
-LEAVES = "node_a long, node_b long, doc_id long, mark long, start int"
+SUFFIXES = "label long, part int, parts int, doc_id long, mark long, start int, before int, windows int, words string"
+#: node_a and node_b are null where the windows have a smaller document in any case.
+FOUND = "doc_id long, mark long, from_start int, to_start int, node_a long, node_b long"
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,13 +79,18 @@ def _labels(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "label long, doc_id long, mark long, n int")
 
 
-def _member(lists: pa.ListArray, at: int, to: int, row: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Whether each label is in its row's list."""
-    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-    own = np.repeat(np.arange(to - at), np.diff(bounds[at : to + 1]))
-    keys = np.sort(values[bounds[at] : bounds[to]] ^ W.mix(own.astype(np.uint64)))
+def _parts(lists: pa.ListArray, at: int, to: int, row: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How many parts each label has by its row's list of (label, parts); 0 where it is not in it."""
+    bounds, values = lists.offsets.to_numpy(), lists.values
+    labels, parts = values.field(0).to_numpy().view(np.uint64)[bounds[at] : bounds[to]], values.field(1).to_numpy()[bounds[at] : bounds[to]]
+    if not len(labels):
+        return np.zeros(len(label), np.int64)
+    keys = labels ^ W.mix(np.repeat(np.arange(to - at), np.diff(bounds[at : to + 1])).astype(np.uint64))
+    order = np.argsort(keys)
+    keys, parts = keys[order], parts[order].astype(np.int64)
     key = label ^ W.mix(row.astype(np.uint64))
-    return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
+    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[place] == key, parts[place], 0)
 
 
 def _suffixes(docs: DataFrame, width: int) -> DataFrame:
@@ -89,39 +98,24 @@ def _suffixes(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            marks = b.column(2).to_numpy()
             for at, to, data, offsets in slices(b.column(1)):
                 starts, ends, first = W.word_bounds(data, offsets)
                 row, window, count, anchor, halves = _anchors(W.word_hashes(data, starts, ends), first, width)
-                hit = _member(b.column(3), at, to, row, halves[anchor])
-                row, window, count, anchor = row[hit], window[hit], count[hit], anchor[hit]
+                parts = _parts(b.column(3), at, to, row, halves[anchor])
+                hit = parts > 0
+                row, window, count, anchor, parts = row[hit], window[hit], count[hit], anchor[hit], parts[hit]
                 if not len(row):
                     continue
-                place, whole = pa.array(row), data.tobytes()
+                place, whole, start = pa.array(row), data.tobytes(), window - first[row]
                 words = [whole[x:y] for x, y in zip(starts[window].tolist(), ends[window + count + width - 2].tolist())]
-                columns = [pa.array(x.astype(np.int32)) for x in (window - first[row], anchor - window, count)]
-                yield pa.record_batch([_signed(halves[anchor]), b.column(0).slice(at, to - at).take(place), b.column(2).slice(at, to - at).take(place), *columns, pa.array(words, pa.binary()).cast(pa.string())], names=[c.split()[0] for c in SUFFIXES.split(", ")])
+                part = W.mix(marks[at + row].view(np.uint64) ^ W.mix(start.astype(np.uint64))) % parts.astype(np.uint64)
+                columns = [pa.array(x.astype(np.int32)) for x in (part, parts, start, anchor - window, count)]
+                yield pa.record_batch([_signed(halves[anchor]), *columns[:2], b.column(0).slice(at, to - at).take(place), b.column(2).slice(at, to - at).take(place), *columns[2:], pa.array(words, pa.binary()).cast(pa.string())], names=[c.split()[0] for c in SUFFIXES.split(", ")])
 
     return docs.mapInArrow(run, SUFFIXES)
 
 
-def _leaves(docs: DataFrame, width: int) -> DataFrame:
-    """Of docs(doc_id, text, mark, labels): every window whose anchor has one of these labels, by its node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, to, data, offsets in slices(b.column(1)):
-                starts, ends, first = W.word_bounds(data, offsets)
-                h = W.word_hashes(data, starts, ends)
-                row, window, count, anchor, halves = _anchors(h, first, width)
-                hit = _member(b.column(3), at, to, row, halves[anchor])
-                row, window = np.repeat(row[hit], count[hit]), np.repeat(window[hit], count[hit]) + _counting(count[hit])
-                place = pa.array(row)
-                nodes = [_signed(W.windows(x, width)[window]) for x in (h, W.mix(h ^ W.U(0x5851F42D4C957F2D)))]
-                yield pa.record_batch([*nodes, b.column(0).slice(at, to - at).take(place), b.column(2).slice(at, to - at).take(place), pa.array((window - first[row]).astype(np.int32))], names=[c.split()[0] for c in LEAVES.split(", ")])
-
-    return docs.mapInArrow(run, LEAVES)
-
-
 def _counting(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... for each of the sizes."""
     ends = np.cumsum(sizes)
@@ -159,50 +153,73 @@ def _grow(root: np.ndarray, words: np.ndarray, place: np.ndarray, step: int, len
     return out
 
 
-def repeats(label: np.ndarray, doc: np.ndarray, before: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that a smaller document holds too: (suffix, first window of the suffix, last one).
-
-    Suffixes come by label, with all of a label; `before` words of their text precede the prefix, `count` windows reach it.
-    """
-    half = width // 2
-    starts, ends, first = W.word_bounds(data, offsets)
-    words = word_numbers(data, starts, ends)
-    place = first[:-1] + before
-    group = np.cumsum(np.append(0, label[1:] != label[:-1]))
-    prefix = words[place[:, None] + np.arange(half)]
-    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    if (prefix != prefix[head[group]]).any():  # one hash of different prefixes
-        group = np.unique(np.column_stack([group, prefix]), axis=0, return_inverse=True)[1].ravel()
-    rest = width - half
-    right = _grow(group, words, place + half, 1, rest - before + count - 1, rest)
-    left = _grow(group, words, place - 1, -1, before, rest)
-    suffix, window = np.repeat(np.arange(len(label)), count), _counting(count)
-    depth = before[suffix] - window  # words to the left of the prefix
-    node = left[suffix, depth] * (int(right.max(initial=0)) + 1) + right[suffix, rest - depth]
-    order = np.argsort(node, kind="stable")
-    edge = np.flatnonzero(np.append(True, np.diff(node[order]) != 0))
-    least = np.repeat(np.minimum.reduceat(doc[suffix[order]], edge), np.diff(np.append(edge, len(order))))
-    marked = np.zeros(len(node), bool)
-    marked[order] = doc[suffix[order]] > least
-    run = np.flatnonzero(marked)
-    begins = np.flatnonzero(np.append(True, (np.diff(run) != 1) | (np.diff(suffix[run]) != 0))) if len(run) else run
-    stops = (np.append(begins[1:], len(run)) - 1)[: len(begins)]
-    return suffix[run[begins]], window[run[begins]], window[run[stops]]
+class Trees:
+    """The trees of some suffixes, which come by group (prefix and part): `before` words of a suffix's text precede the prefix, `count` windows reach it."""
+
+    def __init__(self, group: np.ndarray, before: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int) -> None:
+        half = width // 2
+        starts, ends, self.first = W.word_bounds(data, offsets)
+        self.data, self.starts, self.ends, self.width = data, starts, ends, width
+        words = word_numbers(data, starts, ends)
+        place = self.first[:-1] + before
+        prefix = words[place[:, None] + np.arange(half)]
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        group = np.cumsum(np.append(0, group[1:] != group[:-1]))
+        if (prefix != prefix[head[group]]).any():  # one hash of different prefixes
+            group = np.unique(np.column_stack([group, prefix]), axis=0, return_inverse=True)[1].ravel()
+        rest = width - half
+        right = _grow(group, words, place + half, 1, rest - before + count - 1, rest)
+        left = _grow(group, words, place - 1, -1, before, rest)
+        #: Of every window: its suffix, its number within it, and its node.
+        self.suffix, self.window = np.repeat(np.arange(len(count)), count), _counting(count)
+        depth = before[self.suffix] - self.window  # words to the left of the prefix
+        self.node = left[self.suffix, depth] * (int(right.max(initial=0)) + 1) + right[self.suffix, rest - depth]
+
+    def marked(self, doc: np.ndarray) -> np.ndarray:
+        """Which windows a suffix of a smaller document holds too."""
+        doc = doc[self.suffix]
+        order = np.argsort(self.node, kind="stable")
+        edge = np.flatnonzero(np.append(True, np.diff(self.node[order]) != 0))
+        out = np.zeros(len(order), bool)
+        out[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(order))))
+        return out
+
+    def runs(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(suffix, first, last window) of successive windows that are marked."""
+        at = np.flatnonzero(marked)
+        begins = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(self.suffix[at]) != 0))) if len(at) else at
+        stops = (np.append(begins[1:], len(at)) - 1)[: len(begins)]
+        return self.suffix[at[begins]], self.window[at[begins]], self.window[at[stops]]
+
+    def hashes(self, which: np.ndarray) -> list[np.ndarray]:
+        """128 bits, in two numbers, of the words of these windows."""
+        h = W.word_hashes(self.data, self.starts, self.ends)
+        at = self.first[self.suffix[which]] + self.window[which]
+        return [W.windows(x, self.width)[at] for x in (h, W.mix(h ^ W.U(0x5851F42D4C957F2D)))]
 
 
 def _trees(suffixes: DataFrame, width: int) -> DataFrame:
-    """doc_id, mark, from_start, to_start: runs of windows that a smaller document holds too; of suffixes sorted by label."""
-    names = ["doc_id", "mark", "from_start", "to_start"]
-
-    def build(t: pa.Table) -> pa.RecordBatch:
-        label, doc, before, count, start = (t[c].to_numpy() for c in ("label", "doc_id", "before", "windows", "start"))
-        texts_ = t["words"].combine_chunks().cast(pa.large_string())
-        size = len(texts_)
-        offsets = np.frombuffer(texts_.buffers()[1], np.int64, size + 1, texts_.offset * 8)
-        data = np.frombuffer(texts_.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        parts = repeats(label, doc, before.astype(np.int64), count.astype(np.int64), data, offsets - offsets[0], width)
-        which = pa.array(parts[0])
-        return pa.record_batch([t["doc_id"].combine_chunks().take(which), t["mark"].combine_chunks().take(which), *(pa.array((start[parts[0]] + x).astype(np.int32)) for x in parts[1:])], names=names)
+    """FOUND: runs of windows that a smaller document holds too, and, of prefixes in several parts, the windows that a part does not settle."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def build(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        label, part, parts, doc, before, count, start = (t[c].to_numpy() for c in ("label", "part", "parts", "doc_id", "before", "windows", "start"))
+        words = t["words"].combine_chunks().cast(pa.large_string())
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        group = np.cumsum(np.append(0, (label[1:] != label[:-1]) | (part[1:] != part[:-1])))
+        trees = Trees(group, before.astype(np.int64), count.astype(np.int64), data, offsets - offsets[0], width)
+        marked = trees.marked(doc)
+        ids, marks = t["doc_id"].combine_chunks(), t["mark"].combine_chunks()
+
+        def rows(suffix: np.ndarray, begin: np.ndarray, end: np.ndarray, nodes: list[pa.Array]) -> pa.RecordBatch:
+            return pa.record_batch([ids.take(pa.array(suffix)), marks.take(pa.array(suffix)), *(pa.array((start[suffix] + x).astype(np.int32)) for x in (begin, end)), *nodes], names=names)
+
+        found = trees.runs(marked)
+        yield rows(*found, [pa.nulls(len(found[0]), pa.int64())] * 2)
+        open_ = np.flatnonzero(~marked & (parts[trees.suffix] > 1))
+        if len(open_):
+            yield rows(trees.suffix[open_], trees.window[open_], trees.window[open_], [_signed(x) for x in trees.hashes(open_)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -214,35 +231,35 @@ def _trees(suffixes: DataFrame, width: int) -> DataFrame:
             size += b.nbytes
             if size >= TREE_BYTES:
                 t = pa.Table.from_batches(held)
-                label = t["label"].to_numpy()
-                edge = int(np.searchsorted(label, label[-1]))  # the last label may go on in the next batch
-                if edge:
-                    yield build(t.slice(0, edge))
-                    held = t.slice(edge).combine_chunks().to_batches()
+                label, part = t["label"].to_numpy(), t["part"].to_numpy()
+                other = np.flatnonzero((label != label[-1]) | (part != part[-1]))
+                if len(other):  # the last group may go on in the next batch
+                    yield from build(t.slice(0, other[-1] + 1))
+                    held = t.slice(other[-1] + 1).combine_chunks().to_batches()
                     size = sum(x.nbytes for x in held)
         if held:
-            yield build(pa.Table.from_batches(held))
+            yield from build(pa.Table.from_batches(held))
 
-    return suffixes.repartition("label").sortWithinPartitions("label").mapInArrow(run, "doc_id long, mark long, from_start int, to_start int")
+    return suffixes.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(run, FOUND)
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = 50) -> DataFrame:
-    """doc_id, mark and `spans`: runs (first, last start) of windows that start in a smaller document too; of docs(doc_id, text, mark)."""
+    """doc_id, mark, `froms` and `tos`: runs (first, last start) of windows that start in a smaller document too; of docs(doc_id, text, mark)."""
     labels = scratch.table(_labels(docs, width), "labels")
-    shared = labels.groupBy("label").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("n")).where("least < most").select("label", (F.col("n") > GROUP).alias("long"))
-    # a text has at most as many labels as words: these arrays are never longer than it
-    of_text = labels.join(shared, "label").groupBy("doc_id", "mark").agg(F.collect_set(F.when(~F.col("long"), F.col("label"))).alias("labels"), F.collect_set(F.when(F.col("long"), F.col("label"))).alias("long_labels"))
-    filed = scratch.table(docs.join(of_text, ["doc_id", "mark"]).select("doc_id", "text", "mark", "labels", "long_labels"), "filed")
-    scratch.free()
-    spans = scratch.table(_trees(_suffixes(filed.where("size(labels) > 0").select("doc_id", "text", "mark", "labels"), width), width), "spans")
+    shared = labels.groupBy("label").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("n")).where("least < most").select("label", F.ceil(F.col("n") / max(1, GROUP)).cast("int").alias("parts"))
+    # a text has at most as many labels as words: this array is never longer than it
+    of_text = labels.join(shared, "label").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("label", "parts")).alias("labels"))
+    suffixes = _suffixes(docs.join(of_text, ["doc_id", "mark"]).select("doc_id", "text", "mark", "labels"), width)
+    found = scratch.table(_trees(suffixes, width), "found")
+    scratch.drop("labels")
     scratch.free()
-    leaves = scratch.table(_leaves(filed.where("size(long_labels) > 0").select("doc_id", "text", "mark", "long_labels"), width), "leaves")
+    leaves = found.where("node_a IS NOT NULL")
     # written, so that the join below has exchanges of its own, whose hot nodes Spark can split
     nodes = scratch.table(leaves.groupBy("node_a", "node_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node_a", "node_b", "least"), "nodes")
-    found = leaves.join(nodes, ["node_a", "node_b"]).where("doc_id > least").select("doc_id", "mark", F.col("start").alias("from_start"), F.col("start").alias("to_start"))
-    out = scratch.table(spans.unionByName(found).groupBy("doc_id", "mark").agg(F.collect_list("from_start").alias("froms"), F.collect_list("to_start").alias("tos")), "repeated")
+    more = leaves.join(nodes, ["node_a", "node_b"]).where("doc_id > least").select(*found.columns)
+    out = scratch.table(found.where("node_a IS NULL").unionByName(more).groupBy("doc_id", "mark").agg(F.collect_list("from_start").alias("froms"), F.collect_list("to_start").alias("tos")), "repeated")
+    scratch.drop("found", "nodes")
     scratch.free()
-    scratch.drop("labels", "filed", "spans", "leaves", "nodes")
     return out
 
 

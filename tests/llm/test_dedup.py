@@ -130,9 +130,9 @@ def test_substrings_by_sql(spark, duck):
     same_rows(substring.remove_repeats(spark.read.parquet(f"{SMALL}/documents.parquet")), duck, substring.SQL)
 
 
-@pytest.mark.parametrize("width, group, size", [(2, 2048, 1), (5, 2048, 2 << 20), (7, 6, 2000), (8, 0, 1), (9, 40, 500)])
+@pytest.mark.parametrize("width, group, size", [(2, 2048, 1), (5, 2048, 2 << 20), (7, 6, 2000), (8, 1, 1), (9, 40, 500)])
 def test_substrings_by_brute_force(spark, width, group, size, monkeypatch):
-    """Trees of all prefixes, of some while others are made longer, and of none; some texts under two ids, some ids with two texts."""
+    """Prefixes in one part each, in several, and in as many as they have suffixes; some texts under two ids, some ids with two texts."""
     monkeypatch.setattr(substring, "GROUP", group)
     monkeypatch.setattr(substring, "TREE_BYTES", size)
     rng = random.Random(width)
@@ -152,8 +152,8 @@ def test_trees_with_equal_hashes_of_other_words(monkeypatch):
     monkeypatch.setattr(substring.W, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
     texts = [b"a b c d", b"a b x d", b"a b c d", b"q b c d"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.arange(5) * 7
-    got = substring.repeats(np.zeros(4, np.int64), np.arange(4), np.full(4, 1), np.full(4, 1), data, offsets, 4)
-    assert [x.tolist() for x in got] == [[2], [0], [0]]
+    trees = substring.Trees(np.zeros(4, np.int64), np.full(4, 1), np.full(4, 1), data, offsets, 4)
+    assert [x.tolist() for x in trees.runs(trees.marked(np.arange(4)))] == [[2], [0], [0]]
 
 
 def test_substrings_of_awkward_rows(spark):
