@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
-The measures of a text come from vectorised passes over batches of texts.  A rule rejects by some of them; on a bounded
-sample each rule's cost (seconds a byte, with the measures it needs first) and its share of rejections are estimated, and
-the cascade runs the rules in descending rejection per cost, each only on the texts that all rules before it kept.  The
+The measures of a text come from vectorised passes over batches of texts.  A rule rejects by some of them; on a random
+sample of all texts each rule's cost (seconds a text, with the measures it needs first) and its share of rejections are
+estimated, and the cascade runs the rules in descending rejection per cost, each only on the texts that all rules before it kept.  The
 order changes the work alone: a text is kept if and only if no rule rejects it.
 """
 
@@ -23,8 +23,8 @@ from .common import schema_with, slices, texts, tune
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 _BLANK = " \t\n\v\f\r"
-#: Texts of the sample that orders the rules, and the most characters of one; results don't depend on it.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 1 << 15
+#: Expected number of texts in the sample that orders the rules, and its seed; results don't depend on them.
+SAMPLE_ROWS, SEED = 2000, 20240304
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -131,23 +131,29 @@ BASE = ("too_few_words", "repeated_words")
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) over the first `rows` texts of docs(one column) that are not too long.
+    """(rule, seconds a text, share rejected) over a random sample of docs(one column): every text has the same chance.
 
-    Spark opens partitions one after another until it has them, so the corpus is not read; what comes back is bounded by
-    rows and SAMPLE_CHARS (about 6 MB of usual texts).
+    Executors measure the texts where they are; the driver gets three sums for each rule.  An empty table gives nothing.
     """
-    column = docs.columns[0]
-    sample = pa.array([r[0] for r in docs.where(F.length(column) <= SAMPLE_CHARS).head(rows)], pa.string())
-    seconds, rejected = dict.fromkeys((r.name for r in rules), 0.0), dict.fromkeys((r.name for r in rules), 0)
-    for _, _, data, offsets in slices(sample):
-        for rule in rules:
-            t = Texts(data, offsets)
-            began = time.perf_counter()
-            out = rule.rejects(*(t.get(m) for m in rule.needs))
-            seconds[rule.name] += time.perf_counter() - began
-            rejected[rule.name] += int(out.sum())
-    n = len(sample)
-    return [(r.name, seconds[r.name] / n, rejected[r.name] / n) for r in rules] if n else []
+    n = docs.count()
+    if not n:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seconds, rejected = np.zeros(len(rules)), np.zeros(len(rules), np.int64)
+            for _, _, data, offsets in slices(b.column(0)):
+                for k, rule in enumerate(rules):
+                    t = Texts(data, offsets)
+                    began = time.perf_counter()
+                    out = rule.rejects(*(t.get(m) for m in rule.needs))
+                    seconds[k] += time.perf_counter() - began
+                    rejected[k] += int(out.sum())
+            yield pa.record_batch([pa.array(np.arange(len(rules), dtype=np.int32)), pa.array(seconds), pa.array(rejected), pa.array(np.full(len(rules), b.num_rows))], names=["rule", "seconds", "rejected", "texts"])
+
+    sample = docs.where(F.rand(SEED) < rows / n).mapInArrow(run, "rule int, seconds double, rejected long, texts long")
+    sums = sample.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "texts"))).where("texts > 0").collect()
+    return [(rules[r.rule].name, r.seconds / r.texts, r.rejected / r.texts) for r in sums]
 
 
 def ordered(rules: tuple[Rule, ...], figures: list[tuple[str, float, float]]) -> tuple[Rule, ...]:
@@ -199,7 +205,13 @@ MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the base measures, base_failed and the verdict of the cascade, without a shuffle."""
+    """Per document the base measures, base_failed and the verdict of the cascade; the documents are not shuffled.
+
+    The base measures are wanted of every text, so they come first; the cascade then saves what its other rules need
+    (capitals, lines) for the texts that they are not asked about.  judge(), which wants no measures, skips costly rules
+    in full.  Null texts count as empty (all measures 0, base_failed); repeated and null ids stay, row for row; an empty
+    table stays empty.
+    """
     tune(docs.sparkSession)
     docs = texts(docs, id_col, text_col)
     chain = ordered(rules, estimate(docs.select("text"), rules))
@@ -211,7 +223,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
                 t = Texts(data, offsets)
                 columns = [t.get(m).astype(np.int64) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 failed = np.any([r.rejects(*(t.get(m) for m in r.needs)) for r in base], axis=0)
-                kept, _ = cascade(t, chain)  # what is measured already costs nothing again
+                kept, _ = cascade(t, chain)
                 yield pa.record_batch([b.column(0).slice(at, to - at), *map(pa.array, columns), pa.array(failed), pa.array(kept & ~failed)], names=[c.split()[0] for c in MEASURED.split(", ")])
 
     return docs.mapInArrow(run, MEASURED)
