@@ -1,8 +1,7 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 Terms are words, word shapes (runs of capitals, letters, digits and marks), marks and words said twice in a row, hashed
-into buckets.  A bounded
-sample of labelled texts fixes the buckets in use, their inverse document frequencies and, by a singular value
+into buckets.  A bounded sample of labelled texts fixes the buckets in use, their inverse document frequencies and, by a singular value
 decomposition, the latent space.  The labelled vectors are broadcast: their number and width are parameters, so their
 size never grows with the corpus.  Every text is compared with all of them by blocked exact cosine products, and the
 labels of its nearest neighbours are averaged with weights that grow with the similarity.
@@ -92,14 +91,15 @@ class Model:
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    """True for the fold that no model learns from: crc32 of the id as text divisible by five."""
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """True for the fold that no model learns from: crc32 of the id as text divisible by five; false without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, n_terms: int = TERMS, width: int = WIDTH, neighbours: int = NEIGHBOURS) -> Model:
     """Learn from at most `sample` labelled rows outside the held-out fold, drawn by the hash of their ids.
 
-    Several labels of one id count as their maximum; null labels, and labels of unknown documents, are left out.
+    Several labels of one id count as their maximum, of several texts of one id the least is taken; null labels, and labels
+    of unknown documents, are left out.
     Without any label the model scores everything 0.5.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -113,8 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(v.astype(np.int32))) for v in (bucket, count)]
                 yield pa.record_batch([b.column(0).slice(at, to - at), b.column(2).slice(at, to - at), *lists], names=["doc_id", "label", "buckets", "counts"])
 
-    # the drawn ids have a proven bound, so they may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(run, "doc_id long, label int, buckets array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    # the drawn ids have a proven bound, so they may be broadcast; one text for each comes back, however often its id repeats
+    of_id = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = of_id.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, buckets array<int>, counts array<int>").toArrow().sort_by("doc_id")
     n = got.num_rows
     if not n:
         return Model(np.full(BUCKETS, -1), np.zeros((1, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours)
@@ -160,7 +161,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
+    """Per document: doc_id, held_out, score, predicted.
+
+    Null and empty texts score the share of label 1 among the learnt rows (0.5 without any).  Repeated and null ids stay,
+    row for row; null ids are never held out nor learnt from; an empty table stays empty.
+    """
     plain = texts(docs)
     scored = score(plain, fit(plain, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")

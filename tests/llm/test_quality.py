@@ -52,6 +52,21 @@ def test_rules_are_ordered_by_rejection_per_cost():
     assert rules.ordered(rules.RULES, []) == rules.RULES
 
 
+def test_figures_of_rules_come_from_all_rows(spark):
+    """The first half of the table, by order and by size, would be rejected by one rule alone."""
+    docs = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") < 2000, F.lit("few words")).otherwise(F.repeat(F.lit("all of these words are quite usual, so it seems to me\n"), F.when(F.col("id") % 100 == 0, 2000).otherwise(1))).alias("t"))
+    share = {name: x for name, cost, x in rules.estimate(docs, rows=1000)}
+    assert abs(share["too_few_words"] - 0.5) < 0.1 and 0 < share["repeated_words"] < 0.03
+    assert rules.estimate(docs.where("false")) == []
+
+
+def test_one_text_of_each_id_is_learnt(spark):
+    docs = spark.range(0, 600).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("some words of mine "), (F.col("id") % 5).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    kept = labels.where(~classifier.held_out()).count()
+    assert len(classifier.fit(docs, labels).vectors) == kept > 0
+
+
 def test_rules_on_awkward_rows(spark):
     docs = awkward(spark)
     got = rules.judge(docs).collect()
