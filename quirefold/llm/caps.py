@@ -17,6 +17,7 @@ each vector and one forest of them.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import Scratch, tune
 from .components import components, hook
@@ -145,29 +147,54 @@ def decode(x: np.ndarray, caps: Caps) -> tuple[np.ndarray, np.ndarray]:
     return row[again], found[again]
 
 
-def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.float64)
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, in double precision; the largest component is divided out first, so that no norm overflows or vanishes."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filed(classes: DataFrame, designs: dict[int, Caps]) -> DataFrame:
-    """One row for each class and group of caps: length, part, id, weight, the vector, all caps of the vector."""
+def _keyed(vectors: DataFrame, kind: str) -> DataFrame:
+    """vec_id, length, v (components as bytes of this kind) and key (equal for equal directions); null where a vector links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, values = _unit(batch.column(2))
+        for b in batches:
+            lists, n = b.column(1), b.num_rows
+            values = lists.values.cast(pa.float64())
+            flat = values.to_numpy(zero_copy_only=False) + 0.0  # -0.0 and 0.0 are equal
+            offsets = lists.offsets.to_numpy()
             sizes = np.diff(offsets)
-            ids, weights = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            good = lists.is_valid().to_numpy(zero_copy_only=False) & b.column(0).is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
+            raw, keys = [None] * n, [None] * n
+            for length in np.unique(sizes[good]):
+                at = np.flatnonzero(good & (sizes == length))
+                x = flat[offsets[at][:, None] + np.arange(length)]
+                fit = np.isfinite(x).all(1) & (x != 0).any(1)  # a null component reads as NaN
+                at, x = at[fit], x[fit]
+                scaled = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
+                for k, v, u in zip(at.tolist(), x.astype(kind), scaled):
+                    raw[k], keys[k] = v.tobytes(), hashlib.sha256(u.tobytes()).digest()
+            yield pa.record_batch([b.column(0), pa.array(sizes.astype(np.int32)), pa.array(raw, pa.binary()), pa.array(keys, pa.binary())], names=["vec_id", "length", "v", "key"])
+
+    return vectors.mapInArrow(run, "vec_id long, length int, v binary, key binary")
+
+
+def _filed(classes: DataFrame, designs: dict[int, Caps], kind: str) -> DataFrame:
+    """One row for each class and group of caps: length, part, id, weight, the vector, all caps of the vector (32 bits each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, weights, sizes, vectors = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             for length in np.unique(sizes):
                 at, caps = np.flatnonzero(sizes == length), designs[int(length)]
-                x = np.stack([values[offsets[k] : offsets[k + 1]] for k in at])
-                row, found = decode(x / np.linalg.norm(x, axis=1, keepdims=True), caps)
+                row, found = decode(units(np.frombuffer(b"".join(vectors[at]), kind).reshape(len(at), -1)), caps)
                 group = found // caps.words * caps.ranges + found % caps.words * caps.ranges // caps.words
                 bounds = np.searchsorted(row, np.arange(len(at) + 1))
                 pair = np.unique(np.stack([row, group], 1), axis=0) if len(row) else np.empty((0, 2), np.int64)
                 own = at[pair[:, 0]]
-                lists = [found[bounds[r] : bounds[r + 1]].tobytes() for r in range(len(at))]
+                lists = [found[bounds[r] : bounds[r + 1]].astype("<u4").tobytes() for r in range(len(at))]
                 yield pa.record_batch(
-                    [pa.array(np.full(len(own), length, np.int32)), pa.array(pair[:, 1]), pa.array(ids[own]), pa.array(weights[own]), pa.array([x[r].tobytes() for r in pair[:, 0]], pa.binary()), pa.array([lists[r] for r in pair[:, 0]], pa.binary())],
+                    [pa.array(np.full(len(own), length, np.int32)), pa.array(pair[:, 1]), pa.array(ids[own]), pa.array(weights[own]), pa.array(vectors[own], pa.binary()), pa.array([lists[r] for r in pair[:, 0]], pa.binary())],
                     names=["length", "part", "id", "weight", "vector", "caps"],
                 )
 
@@ -188,21 +215,19 @@ def _least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(table: pa.Table, caps: Caps, cosine: float) -> pa.Table:
+def _compare(table: pa.Table, caps: Caps, cosine: float, kind: str) -> pa.Table:
     """Links of two chunks of a group (or of one with itself) whose least common cap lies in the group.
 
     A pair that several caps of the group hold is looked at under the first of them alone.
     """
     table = table.sort_by("id")  # the order of rows is then that of ids
-    length, part, c, d = (table[k][0].as_py() for k in ("length", "part", "c", "d"))
+    part, c, d = (table[k][0].as_py() for k in ("part", "c", "d"))
     ids, weights, side = table["id"].to_numpy(), table["weight"].to_numpy(), table["chunk"].to_numpy()
-    x = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(len(ids), length)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    lists = [np.frombuffer(v, np.int64) for v in table["caps"].to_pylist()]
-    width = max(map(len, lists))
-    padded = np.full((len(ids), width), -1)
-    for k, v in enumerate(lists):
-        padded[k, : len(v)] = v
+    x = units(np.frombuffer(b"".join(table["vector"].to_pylist()), kind).reshape(len(ids), -1))
+    lists = table["caps"].to_pylist()
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+    padded = np.full((len(ids), int(sizes.max())), -1)
+    padded[np.arange(padded.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(lists), "<u4")
     group_of = lambda cap: np.where(cap >= 0, cap // caps.words * caps.ranges + cap % caps.words * caps.ranges // caps.words, -1)
     row, column = np.nonzero(group_of(padded) == part)
     by = padded[row, column]
@@ -244,28 +269,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     spark = vectors.sparkSession
     tune(spark)
     scratch = Scratch(spark, "caps")
-    value = F.transform(F.col(vector_col), lambda v: v.cast("double") + F.lit(0.0))  # -0.0 and 0.0 are equal
-    plain = vectors.select(F.col(id_col).alias("vec_id"), value.alias("v"))
-    fit = F.coalesce(~F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("v", lambda v: v != 0), F.lit(False))
-    plain = plain.withColumn("v", F.when(fit & F.col("vec_id").isNotNull(), F.col("v")))
-    # the largest component is divided out, so that no norm overflows or vanishes
-    plain = plain.withColumn("v", F.transform("v", lambda v: v / F.array_max(F.transform("v", lambda w: F.abs(w)))))
-    keyed = scratch.table(plain.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256))), "vectors")
-    classes = scratch.table(keyed.where("v IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v")), "classes")
-    designs = {r.length: design(r.n, r.length, cosine, bucket, overlap) for r in classes.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).collect()}
-    filed = scratch.table(_filed(classes.select("id", "weight", "v"), designs), "filed")
+    plain = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
+    kind = "<f4" if isinstance(plain.schema["v"].dataType.elementType, FloatType) else "<f8"
+    keyed = scratch.table(_keyed(plain, kind), "vectors")
+    classes = scratch.table(keyed.where("key IS NOT NULL").groupBy("length", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.min_by("v", "vec_id").alias("v")), "classes")
+    # one row for each length of vectors
+    designs = {r.length: design(r.n, r.length, cosine, bucket, overlap) for r in classes.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    filed = scratch.table(_filed(classes.select("id", "weight", "length", "v"), designs, kind), "filed")
     sizes = filed.groupBy("length", "part").agg(F.count("*").alias("n"))
     dealt = filed.join(sizes, ["length", "part"]).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # a row meets every chunk of its group once: the pairs (c, d) of chunks, c <= d, that hold its own
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("length", "part", F.least("chunk", "other").alias("c"), F.greatest("chunk", "other").alias("d"), "chunk", "id", "weight", "vector", "caps")
-    compared = paired.groupBy("length", "part", "c", "d").applyInArrow(lambda t: _compare(t, designs[t["length"][0].as_py()], cosine), "id long, links long, root long")
+    compared = paired.groupBy("length", "part", "c", "d").applyInArrow(lambda t: _compare(t, designs[t["length"][0].as_py()], cosine, kind), "id long, links long, root long")
     found = scratch.table(compared, "found")
     scratch.drop("filed")
     scratch.free()
     linked = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    per_class = classes.join(counts, "id", "left").join(linked, "id", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = keyed.select("vec_id", "key").join(per_class, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    per_class = classes.join(counts, "id", "left").join(linked, "id", "left").select("length", "key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = keyed.select("vec_id", "length", "key").join(per_class, ["length", "key"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
