@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """Per document: doc_id, class_id (least doc_id with the same shingles), component_id (least doc_id of all that links reach), kept.
 
     kept: doc_id = component_id.  Null and empty texts link with nothing and are kept.  Equal texts link however short;
-    rows repeated with their id share its result.  doc_id is meant to be unique and not null; rows without one are kept
-    with null class and component.
+    rows repeated with their id share its result.  doc_id is meant to be unique and not null: of several texts of one id the
+    least one is compared for all of them; rows without an id are kept with null class and component.  An empty table
+    stays empty.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     shared = scratch.table(members.join(sizes, "bucket"), "shared")
     scored = shared.groupBy("doc").agg(F.sum("size").alias("score"))
     buckets = scratch.table(shared.join(scored, "doc").select("bucket", "doc", "size", "score"), "buckets")
-    candidates = scratch.table(plain.join(scored.select(F.col("doc").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    candidates = scratch.table(plain.join(scored.select(F.col("doc").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     scratch.drop("shared")
     scratch.free()
 

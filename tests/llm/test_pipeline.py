@@ -98,11 +98,27 @@ def test_run_equals_its_stages(stages, spark):
 
 
 def test_stages_keep_extra_columns(spark):
-    docs = awkward(spark).withColumn("n_chars", F.length("text").cast("long"))
+    docs = awkward(spark).withColumn("n_chars", F.length("text").cast("long")).withColumn("row", F.lit("r"))
+    other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    given = {tuple(r[c] for c in other) for r in docs.collect()}
     for name, f in pipeline.STAGES[:-1]:
         got = f(spark, docs, SMALL)
         assert got.columns == docs.columns, name
-        assert got.count() <= 12
+        rows = got.collect()
+        assert len(rows) <= 12 and {tuple(r[c] for c in other) for r in rows} <= given, name
+    assert {r.doc_id for r in pipeline.packed(spark, docs, SMALL).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_run_on_empty_and_on_repeated_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, rows in (("none", docs.where("false")), ("twice", docs.unionAll(docs))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = pipeline.run(spark, f"{tmp_path}/{name}").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+        if name == "none":
+            assert got == []
+        else:  # both rows of a document share their fate; what both hold is no repeat of another document
+            assert got and all(r.n % 2 == 0 for r in got)
 
 
 def test_registered():
