@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 #: Rows and bytes of an Arrow batch that a Python worker gets (one larger row makes a batch of its own).
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 #: Bytes of text that the vectorised helpers look at together; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def tune(spark: SparkSession) -> None:
