@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: JavaScript's and Java's `$` differ before a final line feed, hence \z.
 _RUNS, _TAIL = r'[<>:"\\/|?*]+', r"[. ]+\z"
@@ -19,26 +16,38 @@ def file_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, _RUNS, "_"), _TAIL, "")
 
 
-def replacement(value: Column, placeholder: str) -> Column:
-    """A value as the text that a literal replacement puts in: '$$' gives '$' and '$&' the placeholder."""
-    kept = F.replace(value, F.lit("$$"), F.lit("\u0001"))
-    return F.replace(F.replace(kept, F.lit("$&"), F.lit(placeholder)), F.lit("\u0001"), F.lit("$"))
-
-
 def json_quoted(value: Column) -> Column:
     """A string as JSON writes it, with letters beyond ASCII as they are."""
     return F.regexp_extract(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), r'(?s)\A\{"v":(.*)\}\z', 1)
 
 
+#: What a '$' and a second character stand for in a value that is put in.
+_PATTERN = r"\$[$&`']"
+
+
+def _patterned(text: Column, key: str, value: Column) -> Column:
+    """text with the key's places replaced by value, whose '$' patterns give '$', the key, and what is before or after the place."""
+    parts = F.split(text, r"\Q" + key + r"\E", -1)
+    between, marks = F.split(value, _PATTERN, -1), F.regexp_extract_all(value, F.lit(f"({_PATTERN})"), 1)
+
+    def put(place: Column) -> Column:
+        before, after = F.array_join(F.slice(parts, F.lit(1), place), key), F.array_join(F.slice(parts, place + 1, F.size(parts)), key)
+        given = F.transform(marks, lambda m: F.when(m == "$$", "$").when(m == "$&", key).when(m == "$`", before).otherwise(after))
+        return F.array_join(F.zip_with(between, given, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return F.array_join(F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(F.concat(put(k), part))), "")
+
+
 def render(template: Column | str, variables: Sequence[tuple[str, Column]], quoted: bool = False) -> Column:
     """Put values into {{names}}, one name after another: what one value puts in is seen by the names after it.
 
-    Null gives ''.  quoted: values are put in as JSON strings.  For values with $` or $' use render_exact.
+    Null gives ''.  In a value '$$' gives '$', '$&' the name in its braces, "$`" and "$'" the text before and after the
+    place.  quoted: values are put in as JSON strings.
     """
     out = F.lit(template) if isinstance(template, str) else template
     for name, value in variables:
-        text = F.when(value.isNull(), F.lit("")).otherwise(json_quoted(value) if quoted else value)
-        out = F.replace(out, F.lit(f"{{{{{name}}}}}"), replacement(text, f"{{{{{name}}}}}"))
+        text, key = F.when(value.isNull(), F.lit("")).otherwise(json_quoted(value) if quoted else value), f"{{{{{name}}}}}"
+        out = F.when(text.rlike(_PATTERN), _patterned(out, key, text)).otherwise(F.replace(out, F.lit(key), text))
     return out
 
 
@@ -57,23 +66,6 @@ def put_in(template: str, name: str, value: str) -> str:
     return "".join(out) + template[at:]
 
 
-def render_exact(template: str, names: Sequence[str], quoted: bool = False):
-    """A pandas UDF over one column a name: render() with the prefix and suffix patterns as well."""
-
-    @F.pandas_udf(StringType())
-    def run(*columns: pd.Series) -> pd.Series:
-        rows = []
-        for values in zip(*columns):
-            out = template
-            for name, v in zip(names, values):
-                text = "" if v is None else json.dumps(v, ensure_ascii=False) if quoted else v
-                out = put_in(out, name, text)
-            rows.append(out)
-        return pd.Series(rows, dtype=object)
-
-    return run
-
-
 def normal_headings(text: Column) -> Column:
     """Without any first-level heading, all headings move up by what the first of them lacks to the first level."""
     depth = F.length(F.regexp_extract(text, r"(?m)^(#{1,6}) ", 1)) - 1

@@ -64,12 +64,18 @@ def q02_title_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", title.alias("title"), X.file_name(title).alias("file_name"))
 
 
-def _put(template: str, name: str, value: str) -> str:
-    key = f"{{{{{name}}}}}"
-    return f"replace({template}, '{key}', replace(replace(replace({value}, '$$', chr(1)), '$&', '{key}'), chr(1), '$'))"
-
-
-@_query(f"SELECT doc_id, {_put(_put(_put(_put("'# {{title}} [{{lang}}] {{title}} {{content}} {{size}}'", 'title', 'source'), 'content', 'text'), 'lang', 'lang'), 'size', 'CAST(n_chars AS VARCHAR)')} AS note FROM documents")
+def _put_sql(variables: list[tuple[str, str]], template: str, table: str, key: str) -> str:
+    """One step a name; in a value '$$', '$&', "$`" and "$'" stand for '$', the name, what is before and what is after it."""
+    steps = [f"t0 AS (SELECT *, '{template}' AS t FROM {table})"]
+    for k, (name, value) in enumerate(variables, 1):
+        braced, pattern = f"{{{{{name}}}}}", "'\\$[$&`'']'"
+        steps.append(f"p{k} AS (SELECT *, string_split(t, '{braced}') AS parts, string_split_regex(coalesce({value}, ''), {pattern}) AS between, regexp_extract_all(coalesce({value}, ''), {pattern}) AS marks FROM t{k - 1})")
+        given = f"CASE marks[j] WHEN '$$' THEN '$' WHEN '$&' THEN '{braced}' WHEN '$`' THEN array_to_string(parts[1:i - 1], '{braced}') WHEN '$''' THEN array_to_string(parts[i:], '{braced}') ELSE '' END"
+        steps.append(f"t{k} AS (SELECT * EXCLUDE (t, parts, between, marks), array_to_string(list_transform(parts, lambda x, i: CASE WHEN i = 1 THEN x ELSE array_to_string(list_transform(between, lambda y, j: y || {given}), '') || x END), '') AS t FROM p{k})")
+    return f"WITH {', '.join(steps)} SELECT {key}, t AS note FROM t{len(variables)}"
+
+
+@_query(_put_sql([("title", "source"), ("content", "text"), ("lang", "lang"), ("size", "CAST(n_chars AS VARCHAR)")], "# {{title}} [{{lang}}] {{title}} {{content}} {{size}}", "documents", "doc_id"))
 def q03_template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = [("title", F.col("source")), ("content", F.col("text")), ("lang", F.col("lang")), ("size", F.col("n_chars").cast("string"))]
     return _read(spark, sf_dir, "documents").select("doc_id", X.render("# {{title}} [{{lang}}] {{title}} {{content}} {{size}}", values).alias("note"))
@@ -304,7 +310,15 @@ def q26_progress_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.apply_log(log.withColumn("op", F.when(F.col("op") == "rename", "save").otherwise(F.col("op"))))
 
 
-@_query()
+_RENAMED = """WITH RECURSIVE e AS (SELECT event_id AS seq, user_id AS u, event_type AS op, value AS scroll, epoch_us(ts) // 1000 AS ts_ms FROM events),
+s AS (SELECT u, seq, op, coalesce(lag(seq) OVER (PARTITION BY u ORDER BY seq), -1) AS prev FROM e WHERE op IN ('error', 'purchase')),
+r AS (SELECT u, seq AS at, [seq] AS arrivals, scroll, ts_ms FROM e WHERE op NOT IN ('error', 'purchase')
+  UNION ALL SELECT r.u + 1, s.seq, list_prepend(s.seq, arrivals), scroll, ts_ms FROM r JOIN s ON s.u = r.u AND s.prev < r.at AND r.at < s.seq WHERE s.op = 'purchase'),
+f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.u = r.u AND r.at < s.seq))
+SELECT 'u' || u AS path, scroll, ts_ms FROM f QUALIFY row_number() OVER (PARTITION BY u ORDER BY arrivals DESC) = 1"""
+
+
+@_query(_RENAMED)
 def q27_progress_with_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.apply_log(_log(spark, sf_dir))
 

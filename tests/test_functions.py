@@ -25,7 +25,14 @@ def test_templates(spark):
     df = spark.createDataFrame([("cost $$5", "see {{b}}", None)], "a string, c string, b string")
     got = df.select(X.render("{{c}}|{{a}}|{{b}}|{{z}}", [("c", F.col("c")), ("a", F.col("a")), ("b", F.col("b"))])).first()[0]
     assert got == "see |cost $5||{{z}}"
-    assert df.select(X.render_exact("p{{a}}s", ["a"])(F.lit("<$`|$'|$&|$$>"))).first()[0] == "p<p|s|{{a}}|$>s"
+
+
+@pytest.mark.parametrize("value", ["<$`|$'|$&|$$>", "$$$", "$$&", "$`", "a\u0001b$$", "\u0001", "$1$", "'$'", "", "{{b}}$&"])
+@pytest.mark.parametrize("template", ["p{{a}}s", "{{a}}{{a}}-{{b}}{{a}}", "no name", "{{a}}"])
+def test_patterns_in_values(spark, template, value):
+    df = spark.createDataFrame([(value, "x$`y")], "a string, b string")
+    want = X.put_in(X.put_in(template, "a", value), "b", "x$`y")
+    assert df.select(X.render(template, [("a", F.col("a")), ("b", F.col("b"))])).first()[0] == want
 
 
 def test_utf16(spark):
