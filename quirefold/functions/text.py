@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,9 +25,13 @@ def json_quoted(value: Column) -> Column:
 _PATTERN = r"\$[$&`']"
 
 
-def _patterned(text: Column, key: str, value: Column) -> Column:
-    """text with the key's places replaced by value, whose '$' patterns give '$', the key, and what is before or after the place."""
-    parts = F.split(text, r"\Q" + key + r"\E", -1)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: expressions that use it several times stay small."""
+    return F.element_at(F.transform(F.array(value), lambda bound: body(bound)), 1)
+
+
+def _patterned(parts: Column, key: str, value: Column) -> Column:
+    """parts joined by value, whose '$' patterns give '$', the key, and what is before or after the place."""
     between, marks = F.split(value, _PATTERN, -1), F.regexp_extract_all(value, F.lit(f"({_PATTERN})"), 1)
 
     def put(place: Column) -> Column:
@@ -42,13 +46,16 @@ def render(template: Column | str, variables: Sequence[tuple[str, Column]], quot
     """Put values into {{names}}, one name after another: what one value puts in is seen by the names after it.
 
     Null gives ''.  In a value '$$' gives '$', '$&' the name in its braces, "$`" and "$'" the text before and after the
-    place.  quoted: values are put in as JSON strings.
+    place.  Rows without such a value take plain replacements.  quoted: values are put in as JSON strings.
     """
-    out = F.lit(template) if isinstance(template, str) else template
+    plain = exact = F.lit(template) if isinstance(template, str) else template
+    special = F.lit(False)
     for name, value in variables:
         text, key = F.when(value.isNull(), F.lit("")).otherwise(json_quoted(value) if quoted else value), f"{{{{{name}}}}}"
-        out = F.when(text.rlike(_PATTERN), _patterned(out, key, text)).otherwise(F.replace(out, F.lit(key), text))
-    return out
+        special = special | text.rlike(_PATTERN)
+        plain = F.replace(plain, F.lit(key), text)
+        exact = _bound(F.split(exact, r"\Q" + key + r"\E", -1), lambda parts, key=key, text=text: _patterned(parts, key, text))
+    return F.when(special, exact).otherwise(plain)
 
 
 def put_in(template: str, name: str, value: str) -> str:

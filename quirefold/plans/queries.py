@@ -23,7 +23,7 @@ from ..operators import vault as V
 from ..sources import archives as A
 from ..storage import shared_folder
 from ..streaming import progress as P
-from .importer import import_books
+from .importer import Import, import_books, import_folders, import_libraries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -297,8 +297,11 @@ def q25_continue_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_log(_read(spark, sf_dir, "events"))
+
+
+def _as_log(e: DataFrame) -> DataFrame:
     """Saves, and errors as deletes; a purchase renames its user's note to the next user's."""
-    e = _read(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "rename").otherwise("save")
     name = lambda c: F.concat(F.lit("u"), c)
     return e.select(F.col("event_id").alias("seq"), op.alias("op"), name(F.col("user_id").cast("string")).alias("path"), name((F.col("user_id") + 1).cast("string")).alias("new_path"), F.col("value").alias("scroll"), _ms("ts").alias("ts_ms"))
@@ -437,3 +440,97 @@ def q37_import_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
   || string_agg('- [[talk' || conv_id || '/' || name || '.md|' || name || ']]' || chr(10), '' ORDER BY made, chapter) AS content FROM n GROUP BY conv_id""")
 def q38_import_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_books(_packed(spark, sf_dir), Settings()).index.select("index_path", "content")
+
+
+def _anchored(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A folder of books written from conversations: one page holds all turns, and the navigation names its anchors.
+
+    kind "archives": .epub files on three shelves, every tenth broken; "folders": a folder for each book.
+    """
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def book(turns: list[int], conv: int) -> dict[str, str]:
+        points = "".join(f'<navPoint><navLabel><text>part {t}</text></navLabel><content src="all.xhtml#s.{t}"/></navPoint>' for t in turns)
+        body = "".join(f'<h4 id="s.{t}">part {t}</h4>\n<p>said {t} &amp; done, see <a href="all.xhtml#s.{turns[-1]}">last</a></p>' for t in turns)
+        return {
+            "book.opf": f'<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Talk {conv}</dc:title></metadata><manifest><item id="a" href="all.xhtml"/><item id="cover" href="i/front.png"/></manifest></package>',
+            "book.ncx": f"<ncx><navMap>{points}</navMap></ncx>",
+            "all.xhtml": f"<html><head><title>all</title></head><body>{body}</body></html>",
+            "i/front.png": f"image of {conv}",
+        }
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        conv, turns = int(pdf.conv_id.iloc[0]), sorted(pdf.turn.tolist())
+        files = book(turns, conv)
+        if kind == "folders":
+            return pd.DataFrame([(f"talk{conv}/{p}", x.encode()) for p, x in files.items()], columns=["path", "bytes"])
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for p, x in files.items():
+                z.writestr(p, x)
+        return pd.DataFrame([(f"shelf{conv % 3}/deep/talk{conv}.epub", b"no archive" if conv % 10 == 7 else out.getvalue())], columns=["path", "bytes"])
+
+    root = shared_folder(spark, "library")
+    files = _read(spark, sf_dir, "conversations").select("conv_id", "turn").groupBy("conv_id").applyInPandas(run, "path string, bytes binary")
+    V.write_files(files, root).write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _library(spark: SparkSession, sf_dir: str) -> Import:
+    root = _anchored(spark, sf_dir, "archives")
+    return import_libraries(spark, Settings(libraries=tuple(f"{root}/shelf{k}" for k in range(3)), save_path="vault"))
+
+
+_PARTS = """WITH c AS (SELECT conv_id, turn, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, count(*) OVER (PARTITION BY conv_id) AS n, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+"""
+_PART = """'<h4 id="s.' || turn || '">part ' || turn || '</h4>{feed}<p>said ' || turn || ' {mark} done, see <a href="all.xhtml#s.' || top || '">last</a></p>'"""
+
+
+@_query(_PARTS + f"""SELECT 'talk' || conv_id AS book, pos AS chapter_pos, 'all.xhtml#s.' || turn AS url, CASE WHEN n = 1
+  THEN '<html><head><title>all</title></head><body>' || {_PART.format(feed="' || chr(10) || '", mark="&amp;")} || '</body></html>'
+  ELSE string_agg({_PART.format(feed="", mark="&")}, '') OVER (PARTITION BY conv_id ORDER BY turn) END AS html FROM c WHERE conv_id % 10 <> 7""")
+def q39_library_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives on disk, found below several libraries, their page split at anchors; chunks are cumulative and not escaped."""
+    return _library(spark, sf_dir).sections.select(stem(F.col("book_id")).alias("book"), "chapter_pos", "url", "html")
+
+
+@_query("""WITH b AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'attempted' AS kind, '' AS path, count(*) AS n FROM b UNION ALL SELECT 'error unzip', '', count(*) FROM b WHERE conv_id % 10 = 7 HAVING count(*) > 0
+UNION ALL SELECT 'asset', 'vault/talk' || conv_id || '/images/front.png', length('image of ' || conv_id) FROM b WHERE conv_id % 10 <> 7""")
+def q40_library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books found (broken ones too), errors, and the images that are copied."""
+    got = _library(spark, sf_dir)
+    counts = got.attempted.agg(F.lit("attempted").alias("kind"), F.lit("").alias("path"), F.count("*").alias("n"))
+    errors = got.errors.groupBy(F.concat(F.lit("error "), "stage").alias("kind")).agg(F.lit("").alias("path"), F.count("*").alias("n"))
+    return counts.unionByName(errors).unionByName(got.assets.select(F.lit("asset").alias("kind"), "path", F.octet_length("bytes").cast("long").alias("n")))
+
+
+_FRONT = """'---' || chr(10) || 'title: talk' || conv_id || chr(10) || 'author: ""' || chr(10) || 'publisher: ""' || chr(10) || 'status: false' || chr(10) || 'tags:' || chr(10) || '  - book' || chr(10) || 'cover: /talk' || conv_id || '/images/front.png' || chr(10) || chr(10) || '---' || chr(10)"""
+
+
+@_query(_PARTS + f"""SELECT 'talk' || conv_id || '/talk' || conv_id || '.md' AS note_path, {_FRONT} || string_agg('# part ' || turn || chr(10) || chr(10) || 'said ' || turn || ' & done, see [[all.xhtml#s.' || top || '|last]]', chr(10) || chr(10) ORDER BY turn) AS content FROM c GROUP BY conv_id""")
+def q41_folder_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books that are folders, each as one note with front matter; chunks hold each node once."""
+    root = _anchored(spark, sf_dir, "folders")
+    return import_folders(spark, root, Settings(granularity=0, split_mode="disjoint")).notes.select("note_path", "content")
+
+
+@_query(_PARTS + """SELECT 'talk' || conv_id AS book, pos AS chapter_pos, 'all.xhtml#s.' || top AS raw, 'part ' || top AS target, '[[part ' || top || '|last]]' AS replacement FROM c""")
+def q42_dotted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the notes of books that are folders: fragments with a dot lead to chapters."""
+    root = _anchored(spark, sf_dir, "folders")
+    got = import_folders(spark, root, Settings(split_mode="disjoint")).links
+    return got.select(basename(F.col("book_id")).alias("book"), "chapter_pos", F.split("raw", r"\|")[0].alias("raw"), "target", "replacement")
+
+
+@_query(_RENAMED)
+def q43_streaming_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves, renames and deletes as a stream into snapshots of the state, until all are taken."""
+    schema = _read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    folder = shared_folder(spark, "stream")
+    P.track_log(_as_log(stream), f"{folder}/state", f"{folder}/checkpoint", every=None).awaitTermination()
+    return P.current(spark, f"{folder}/state")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,45 +66,80 @@ def states(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("scroll").isNotNull() & ~F.isnan("scroll")).withColumn("scroll", rounded(F.col("scroll")))
 
 
-def upsert(spark: SparkSession, table: str):
+STATE = "path string, scroll double, ts_ms long"
+#: Snapshots that stay: a batch that is repeated after a failure reads the one before its own.
+KEPT = 2
+
+
+def _sink(table: str, merge: Callable[[DataFrame, DataFrame], DataFrame]):
     """A foreachBatch sink that keeps a Parquet snapshot current, and writes only what changed.
 
-    Snapshots are numbered; a failed batch is repeated and overwrites its own number, so each batch counts once.
+    Snapshots are numbered; a failed batch is repeated and overwrites its own number, so each batch counts once.  Older
+    snapshots than the last KEPT are deleted.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        new = batch.select("path", "scroll", "ts_ms")
         before = current(session, table, below=number)
-        merged = latest(new if before is None else before.unionByName(new), ["path"], ["scroll", "ts_ms"], ["ts_ms", "scroll"])
-        if before is not None and not merged.exceptAll(before).limit(1).count():
+        merged = merge(batch, before)
+        if not before.isEmpty() and merged.exceptAll(before).isEmpty() and before.join(merged, "path", "left_anti").isEmpty():
             return
         merged.write.mode("overwrite").parquet(f"{table}/n={number}")
+        for old in _numbers(session, table)[:-KEPT]:
+            path = session._jvm.org.apache.hadoop.fs.Path(f"{table}/n={old}")
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
     return run
 
 
-def current(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
-    """The newest snapshot, or None before the first."""
+def upsert(table: str):
+    """The sink of events(path, scroll, ts_ms): the latest of each path stays."""
+    return _sink(table, lambda batch, before: latest(before.unionByName(batch.select("path", "scroll", "ts_ms")), ["path"], ["scroll", "ts_ms"], ["ts_ms", "scroll"]))
+
+
+def replay(table: str):
+    """The sink of log(seq, op, path, new_path, scroll, ts_ms): what apply_log makes of the state and the batch's rows.
+
+    seq is not negative, and of later batches larger.  The state counts as saves before all of them.
+    """
+
+    def merge(batch: DataFrame, before: DataFrame) -> DataFrame:
+        saved = before.select(F.lit(-1).cast("long").alias("seq"), F.lit("save").alias("op"), "path", F.lit(None).cast("string").alias("new_path"), "scroll", "ts_ms")
+        return apply_log(saved.unionByName(batch.select(*saved.columns))).select("path", "scroll", "ts_ms")
+
+    return _sink(table, merge)
+
+
+def _numbers(spark: SparkSession, table: str) -> list[int]:
+    """Of all whole snapshots, ascending: no more than KEPT and one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(path):
-        return None
+        return []
     found = [s.getPath() for s in store.listStatus(path)]
-    numbers = [int(p.getName()[2:]) for p in found if p.getName().startswith("n=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.schema("path string, scroll double, ts_ms long").parquet(f"{table}/n={max(numbers)}") if numbers else None
+    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("n=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def current(spark: SparkSession, table: str, below: int | None = None) -> DataFrame:
+    """The newest snapshot (with a smaller number than `below`), empty before the first."""
+    numbers = [n for n in _numbers(spark, table) if below is None or n < below]
+    return spark.read.schema(STATE).parquet(f"{table}/n={numbers[-1]}") if numbers else spark.createDataFrame([], STATE)
+
+
+def _start(events: DataFrame, sink, checkpoint: str, every: str | None):
+    writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def track(events: DataFrame, table: str, checkpoint: str, every: str | None = "500 milliseconds"):
     """Start the stream of events(path, scroll, ts_ms) into snapshots; every=None takes what is there and stops."""
-    writer = states(events).writeStream.foreachBatch(upsert(events.sparkSession, table)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return _start(states(events), upsert(table), checkpoint, every)
 
 
-def state_file(rows: list[tuple[str, float, int]]) -> str:
-    return json.dumps({p: {"scroll": s, "timestamp": t} for p, s, t in rows}, ensure_ascii=False)
+def track_log(log: DataFrame, table: str, checkpoint: str, every: str | None = "500 milliseconds"):
+    """Start the stream of log(seq, op, path, new_path, scroll, ts_ms), with renames and deletes, into snapshots."""
+    return _start(log, replay(table), checkpoint, every)
 
 
-def last_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def state_file(rows: list[tuple[str, float, int]]) -> str:
+    return json.dumps({p: {"scroll": s, "timestamp": t} for p, s, t in rows}, ensure_ascii=False)

@@ -38,3 +38,33 @@ def test_stream(spark, tmp_path):
         P.track(spark.readStream.schema(schema).parquet(str(src)), table, check, every=None).awaitTermination()
     assert sorted(map(tuple, P.current(spark, table).collect())) == [("a", 3.0, 2), ("b", 2.0, 1)]
     assert P.lookup(P.current(spark, table), spark.createDataFrame([("z",)], "path string")).first().scroll is None
+
+
+def test_stream_of_a_log_equals_a_map(spark, tmp_path):
+    """Renames and deletes of one batch meet states of another; old snapshots go."""
+    rng, db, seq = random.Random(4), {}, 0
+    schema = "seq long, op string, path string, new_path string, scroll double, ts_ms long"
+    table, src = f"file://{tmp_path}/table", str(tmp_path / "in")
+    for _ in range(4):
+        rows = []
+        for _ in range(12):
+            op, path, to = rng.choice(["save", "save", "rename", "delete"]), f"p{rng.randint(0, 4)}", f"p{rng.randint(0, 4)}"
+            if op == "save":
+                db[path] = (float(seq), seq)
+            elif op == "delete":
+                db.pop(path, None)
+            elif path in db:
+                db[to] = db[path]
+                del db[path]
+            rows.append((seq, op, path, to, float(seq), seq))
+            seq += 1
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        P.track_log(spark.readStream.schema(schema).parquet(src), table, f"file://{tmp_path}/check", every=None).awaitTermination()
+        assert {r.path: (r.scroll, r.ts_ms) for r in P.current(spark, table).collect()} == db
+    assert len(P._numbers(spark, table)) <= P.KEPT
+
+
+def test_stream_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], P.STATE).write.parquet(str(tmp_path / "in"))
+    P.track(spark.readStream.schema(P.STATE).parquet(str(tmp_path / "in")), f"file://{tmp_path}/t", f"file://{tmp_path}/c", every=None).awaitTermination()
+    assert P.current(spark, f"file://{tmp_path}/t").collect() == []

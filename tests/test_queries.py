@@ -32,4 +32,5 @@ def test_projections_reach_the_scan(spark):
     plan = Q.QUERIES["q28_total_chars"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     plan = Q.QUERIES["q11_unmapped_anti"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(o_orderpriority)" in plan or "o_orderpriority" in plan
+    assert "PushedFilters: [IsNotNull(o_orderpriority), Not(EqualTo(o_orderpriority,5-LOW))]" in plan
+    assert "o_orderdate" not in plan
