@@ -60,4 +60,4 @@ def op10_vector_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_packing, op3_word_bpe, op4_minhash, op5_substring_dedup, op6_warc, op7_quality_classifier, op8_quality_rules, op9_quotation_links, op10_vector_caps)}
 
-SQL: dict[str, str] = {"op4_minhash": minhash.SQL, "op5_substring_dedup": substring.SQL, "op6_warc": warc.SQL, "op8_quality_rules": rules.sql(), "op10_vector_caps": caps.SQL}
+SQL: dict[str, str] = {"op4_minhash": minhash.SQL, "op5_substring_dedup": substring.SQL, "op6_warc": warc.SQL, "op8_quality_rules": rules.sql(), "op9_quotation_links": quotes.SQL, "op10_vector_caps": caps.SQL}

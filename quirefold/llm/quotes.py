@@ -143,3 +143,33 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     replies = parents.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "n_linked", "parent")
     out = own.join(replies, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").join(threads, F.col("conv_id") == F.col("id"), "left")
     return out.select("conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"), F.coalesce("component_id", "conv_id").alias("thread_id"))
+
+
+#: DuckDB SQL of link_quotes over conversations (small letters stand for folded ones, which differ in a few signs only).
+SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+x AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m),
+l AS (SELECT rid, i, line, regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1) AS marks FROM x),
+v AS (SELECT rid, i, line, length(replace(replace(marks, ' ', ''), chr(9), '')) AS level, regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS rest FROM l),
+g AS (SELECT *, sum(step) OVER (PARTITION BY rid ORDER BY i) AS grp FROM (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY rid ORDER BY i) THEN 0 ELSE 1 END AS step FROM v)),
+p AS (SELECT rid, grp, level, trim(regexp_replace(lower(string_agg(rest, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS words FROM g WHERE level > 0 GROUP BY rid, grp, level),
+q AS (SELECT m.rid, conv_id, turn, level, words, row_number() OVER (PARTITION BY m.rid ORDER BY grp) - 1 AS k FROM p JOIN m USING (rid) WHERE words <> ''),
+o AS (SELECT m.rid, m.conv_id, m.turn, m.role, CASE WHEN m.rid IN (SELECT rid FROM p) THEN coalesce((SELECT trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) FROM v WHERE v.rid = m.rid AND level = 0), '') ELSE m.text END AS text FROM m),
+ol AS (SELECT rid, i, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM o WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+ou AS (SELECT rid, regexp_replace(regexp_replace(regexp_replace(string_agg(line, chr(29) ORDER BY i), '([.!?…]+["''”’)\]]*) ', '\1' || chr(31), 'g'), '([。！？]+["''”’」』）]*) ', '\1' || chr(31), 'g'), '([。！？]+["''”’」』）]*)([^\x1d\x1f"''”’」』）。！？])', '\1' || chr(30) || '\2', 'g') AS marked FROM ol WHERE line <> '' GROUP BY rid),
+us AS (SELECT rid, regexp_extract_all(marked, '[^\x1d\x1e\x1f]+[\x1d\x1e\x1f]?') AS units FROM ou),
+ui AS (SELECT rid, units, unnest(generate_series(1, len(units))) AS a FROM us WHERE EXISTS (SELECT 1 FROM q)),
+ur AS (SELECT rid, units, a, unnest(generate_series(a, len(units))) AS b FROM ui),
+r AS (SELECT rid, replace(replace(regexp_replace(array_to_string(units[a:b], ''), '[\x1d\x1e\x1f]$', ''), chr(30), ''), chr(31), ' ') AS run FROM ur),
+s AS (SELECT m.conv_id, replace(run, chr(29), ' ') AS words, min(m.turn) AS turn FROM r JOIN m USING (rid) GROUP BY 1, 2),
+f AS (SELECT words, min((conv_id, turn)) AS first FROM s GROUP BY words),
+d AS (SELECT DISTINCT conv_id, turn, k, level, words FROM q WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT d.conv_id, d.turn, d.level, d.k, CASE WHEN s.turn IS NOT NULL THEN (d.conv_id, s.turn) WHEN f.first < (d.conv_id, d.turn) THEN f.first END AS source
+  FROM d LEFT JOIN s ON s.words = d.words AND s.conv_id = d.conv_id AND s.turn < d.turn LEFT JOIN f ON f.words = d.words),
+a AS (SELECT conv_id, turn, source[1] AS parent_conv, source[2] AS parent_turn, n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, k) AS best FROM c WHERE source IS NOT NULL) WHERE best = 1),
+e AS (SELECT conv_id AS x, parent_conv AS y FROM a WHERE parent_conv <> conv_id UNION SELECT parent_conv, conv_id FROM a WHERE parent_conv <> conv_id),
+reach AS (SELECT x AS id, x AS via FROM e UNION SELECT reach.id, e.y FROM reach JOIN e ON e.x = reach.via),
+t AS (SELECT id, min(via) AS thread_id FROM reach GROUP BY id)
+SELECT o.conv_id, o.turn, o.role, o.text, CAST(coalesce(nq.n, 0) AS INTEGER) AS n_quotes, CAST(coalesce(a.n, 0) AS INTEGER) AS n_linked, a.parent_conv, a.parent_turn, coalesce(t.thread_id, o.conv_id) AS thread_id
+FROM o LEFT JOIN (SELECT rid, count(*) AS n FROM q GROUP BY rid) nq USING (rid) LEFT JOIN a ON a.conv_id = o.conv_id AND a.turn = o.turn LEFT JOIN t ON t.id = o.conv_id
+"""

@@ -95,6 +95,43 @@ def test_quotes_by_brute_force(spark):
     assert all(level == 0 or not line.strip() for r in got for level, line in quotes.levels(r.text) if r.n_quotes)
 
 
+def conversations(rows):
+    """The SQL's rows over (conv_id, turn, role, text)."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    if rows:
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = con.execute(quotes.SQL)
+    names = [d[0] for d in got.description]
+    return sorted((repr(tuple(r[names.index(c.split()[0])] for c in quotes.RESULT.split(", "))) for r in got.fetchall()))
+
+
+def test_quotes_by_sql_on_nested_quotes(spark):
+    """Quotes in quotes, partial ones, other white space and case, several in a message, across conversations."""
+    rng, rows = random.Random(31), []
+    say = ["One thing is so. Another is not! Why?", "short", "漢字。もう一つ！終わり", "It ends here.) And goes on", "a  b\tc", "No stop", "Why?", ""]
+    for c in range(40):
+        said = []
+        for t in range(rng.randint(1, 6)):
+            lines = []
+            for _ in range(rng.randint(0, 4)):
+                if said and rng.random() < 0.5:
+                    part = rng.choice(said).split("\n")
+                    lines += [">" * rng.randint(1, 2) + rng.choice(["", " "]) + rng.choice([x, x.upper(), f" {x} "]) for x in part[: rng.randint(1, 3)]]
+                else:
+                    lines.append(rng.choice(["", "", "> ", "> > "]) + rng.choice(say) + (f" {rng.randrange(9)}" if rng.random() < 0.4 else ""))
+            text = "\n".join(lines)
+            said.append(quotes.parse(text)[0])
+            rows.append((c, t, rng.choice(["user", None]), text))
+    rows += [(None, 1, "user", "> short"), (3, None, "user", "> short"), (50, 0, "user", None), rows[7], rows[7]]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert got.where("parent_conv IS NOT NULL AND n_quotes > 1").count() > 5
+    assert sorted(repr(tuple(r)) for r in got.collect()) == conversations(rows)
+    assert conversations([]) == []
+
+
 def test_partial_quotes(spark):
     """Some lines of a paragraph, some of the paragraphs, one sentence, a message that began with an attribution."""
     one = "alpha one\nbeta two\ngamma three\ndelta four"
