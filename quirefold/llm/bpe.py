@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from . import wordhash as W
 from .chunktable import ChunkTable, turns
-from .common import slices, texts, tune
+from .common import slices, texts, tidy, tune
 
 #: Characters of a leaf, and tokens of the first window on each side of a seam.
 LEAF, WINDOW = 512, 8
@@ -199,4 +199,4 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     columns = [pa.array([wide[x:y].tobytes() for x, y in zip(a[:-1], a[1:])], pa.binary()), pa.array([text[x:y].tobytes().decode() for x, y in zip(b[:-1], stops)], pa.string())]
                 yield pa.record_batch([batch.column(0).slice(at, to - at), pa.array(n), *columns], names=names)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, DIGESTS if digests else SCHEMA)
+    return texts(docs, id_col, text_col).mapInArrow(tidy(run), DIGESTS if digests else SCHEMA)

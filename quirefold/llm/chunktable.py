@@ -16,8 +16,8 @@ import numpy as np
 from . import wordhash as W
 
 #: Distinct chunks that a table keeps, their bytes and those of their results, and the longest chunk that is kept.
-CHUNKS, TABLE_BYTES, LONGEST = 1_000_000, 48 << 20, 64
-_SLOTS = 1 << 21
+CHUNKS, TABLE_BYTES, LONGEST = 400_000, 32 << 20, 64
+_SLOTS = 1 << 20
 #: Below this share of chunks found, a full table is begun anew.
 LEAST_FOUND = 0.8
 

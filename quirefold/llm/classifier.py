@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import schema_with, slices, texts, tune
+from .common import schema_with, slices, texts, tidy, tune
 
 #: Hash buckets of terms; terms kept; width of the latent space; labelled vectors at most; neighbours that vote.
 BUCKETS, TERMS, WIDTH, SAMPLE, NEIGHBOURS = 1 << 15, 1024, 48, 4096, 24
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     # the drawn ids have a proven bound, so they may be broadcast; one text for each comes back, however often its id repeats
     of_id = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = of_id.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, buckets array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    got = of_id.select("doc_id", "text", "label").mapInArrow(tidy(run), "doc_id long, label int, buckets array<int>, counts array<int>").toArrow().sort_by("doc_id")
     n = got.num_rows
     if not n:
         return Model(np.full(BUCKETS, -1), np.zeros((1, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours)
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
                 s = np.concatenate(scores)
                 yield pa.record_batch([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema_with(docs, ("score", "double"), ("predicted", "integer")))
+    return docs.mapInArrow(tidy(run), schema_with(docs, ("score", "double"), ("predicted", "integer")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

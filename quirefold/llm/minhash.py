@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import Scratch, slices, texts, tune
+from .common import Scratch, slices, texts, tidy, tune
 from .components import components, hook
 
 SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 80, 4, 0.8
@@ -118,7 +118,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(s.view(np.int64), mask=size == 0) for s in sums]
                 yield pa.record_batch([b.column(0).slice(at, n), *columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))], names=["doc_id", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, set_a long, set_b long, bands array<long>")
 
 
 def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def _verify(pairs: DataFrame, kept_texts: DataFrame, similarity: float) -> DataF
                 yield pa.record_batch([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good))], names=["a", "b"])
                 at = to
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def common_counts(row: np.ndarray, hashes: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bytebpe import encoder
-from .common import texts, tune
+from .common import texts, tidy, tune
 
 #: Ids that one run of the program looks at; what follows the last cut but one is carried into the next run.
 RUN_IDS = 1 << 18
@@ -175,4 +175,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
         if rows:
             yield table(rows)
 
-    return texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, PIECES)
+    return texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(run), PIECES)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import schema_with, slices, texts, tune
+from .common import schema_with, slices, texts, tidy, tune
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -151,7 +151,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPL
                     rejected[k] += int(out.sum())
             yield pa.record_batch([pa.array(np.arange(len(rules), dtype=np.int32)), pa.array(seconds), pa.array(rejected), pa.array(np.full(len(rules), b.num_rows))], names=["rule", "seconds", "rejected", "texts"])
 
-    sample = docs.where(F.rand(SEED) < rows / n).mapInArrow(run, "rule int, seconds double, rejected long, texts long")
+    sample = docs.where(F.rand(SEED) < rows / n).mapInArrow(tidy(run), "rule int, seconds double, rejected long, texts long")
     sums = sample.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "texts"))).where("texts > 0").collect()
     return [(rules[r.rule].name, r.seconds / r.texts, r.rejected / r.texts) for r in sums]
 
@@ -198,7 +198,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
                 why = np.concatenate(by)
                 yield pa.record_batch([*b.columns, pa.array(np.concatenate(kept)), pa.array([names[x] if x >= 0 else None for x in why], pa.string())], names=[*b.schema.names, "kept", "rejected_by"])
 
-    return docs.mapInArrow(run, schema_with(docs, ("kept", "boolean"), ("rejected_by", "string")))
+    return docs.mapInArrow(tidy(run), schema_with(docs, ("kept", "boolean"), ("rejected_by", "string")))
 
 
 MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
@@ -226,7 +226,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
                 kept, _ = cascade(t, chain)
                 yield pa.record_batch([b.column(0).slice(at, to - at), *map(pa.array, columns), pa.array(failed), pa.array(kept & ~failed)], names=[c.split()[0] for c in MEASURED.split(", ")])
 
-    return docs.mapInArrow(run, MEASURED)
+    return docs.mapInArrow(tidy(run), MEASURED)
 
 
 def sql(table: str = "documents") -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import wordhash as W
-from .common import Scratch, slices, texts, tune
+from .common import Scratch, slices, texts, tidy, tune
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: Suffixes of one prefix that are put into one tree; a prefix with more is dealt to parts.
@@ -76,7 +76,7 @@ def _labels(docs: DataFrame, width: int) -> DataFrame:
                 place = pa.array(row[new])
                 yield pa.record_batch([_signed(label[new]), b.column(0).slice(at, to - at).take(place), b.column(2).slice(at, to - at).take(place), pa.array(np.diff(np.append(new, len(row))).astype(np.int32))], names=["label", "doc_id", "mark", "n"])
 
-    return docs.mapInArrow(run, "label long, doc_id long, mark long, n int")
+    return docs.mapInArrow(tidy(run), "label long, doc_id long, mark long, n int")
 
 
 def _parts(lists: pa.ListArray, at: int, to: int, row: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -113,7 +113,7 @@ def _suffixes(docs: DataFrame, width: int) -> DataFrame:
                 columns = [pa.array(x.astype(np.int32)) for x in (part, parts, start, anchor - window, count)]
                 yield pa.record_batch([_signed(halves[anchor]), *columns[:2], b.column(0).slice(at, to - at).take(place), b.column(2).slice(at, to - at).take(place), *columns[2:], pa.array(words, pa.binary()).cast(pa.string())], names=[c.split()[0] for c in SUFFIXES.split(", ")])
 
-    return docs.mapInArrow(run, SUFFIXES)
+    return docs.mapInArrow(tidy(run), SUFFIXES)
 
 
 def _counting(sizes: np.ndarray) -> np.ndarray:
@@ -240,7 +240,7 @@ def _trees(suffixes: DataFrame, width: int) -> DataFrame:
         if held:
             yield from build(pa.Table.from_batches(held))
 
-    return suffixes.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(run, FOUND)
+    return suffixes.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(tidy(run), FOUND)
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = 50) -> DataFrame:
@@ -288,7 +288,7 @@ def _apply(docs: DataFrame, repeated: DataFrame, width: int, texts_too: bool) ->
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)] + [b.column(4 + k) for k in range(len(more))], names=names + more)
 
-    return joined.mapInArrow(run, StructType(StructType.fromDDL(schema).fields + [docs.schema[c] for c in more]))
+    return joined.mapInArrow(tidy(run), StructType(StructType.fromDDL(schema).fields + [docs.schema[c] for c in more]))
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import filesystem, qualified, texts, tune
+from .common import filesystem, qualified, texts, tidy, tune
 
 MANIFEST = "shard int, tokens_file string, docs_file string, n_docs long, n_ids long, n_sequences long"
 
@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield pa.RecordBatch.from_pylist([{"shard": shard, "tokens_file": out.names[0], "docs_file": out.names[1], "n_docs": out.n_docs, "n_ids": out.n_ids, "n_sequences": out.n_seq}], schema=pa.schema([("shard", pa.int32()), ("tokens_file", pa.string()), ("docs_file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_sequences", pa.int64())]))
 
     ordered = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    ordered.mapInArrow(tidy(write), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -173,4 +173,4 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.record_batch([docs.column("doc_id"), pa.array(start + row["base"]), docs.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(np.full(len(start), row["shard"], np.int32)), pa.array(start)], schema=schema)
 
     # a number that is given stays: adaptive execution would put all of the few small rows into one task
-    return based.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, shard_start long")
+    return based.repartition(max(1, manifest.count())).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, shard_start long")
