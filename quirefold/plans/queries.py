@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as X
 from ..functions.markdown import with_markdown
-from ..functions.paths import basename, dirname, extname, stem
+from ..functions.paths import basename, dirname, extname, join_path, stem
 from ..operators import chapters as C
 from ..operators import content as T
 from ..operators import naming
 from ..operators import notes as N
 from ..operators import vault as V
 from ..sources import archives as A
+from ..sources import package as S
 from ..storage import shared_folder
 from ..streaming import progress as P
 from .importer import Import, import_books, import_folders, import_libraries
@@ -534,3 +535,112 @@ def q43_streaming_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "stream")
     P.track_log(_as_log(stream), f"{folder}/state", f"{folder}/checkpoint", every=None).awaitTermination()
     return P.current(spark, f"{folder}/state")
+
+
+@_query("SELECT DISTINCT 'talk' || conv_id AS book FROM conversations WHERE starts_with(CAST(conv_id AS VARCHAR), '1')")
+def q44_library_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives on disk whose path holds what was typed, at any depth; their content is not read."""
+    return A.scan_libraries(spark, [_anchored(spark, sf_dir, "archives")], query="/talk1").select(stem(F.col("path")).alias("book"))
+
+
+@_query("SELECT 'vault/conv' || conv_id || '/' || turn || '.md' AS path, text AS content FROM conversations WHERE starts_with(CAST(conv_id AS VARCHAR), '1')")
+def q45_backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books as archives in a backup folder, those that a query finds there, and their files."""
+    root = shared_folder(spark, "backup")
+    files = _read(spark, sf_dir, "conversations").select(F.concat(F.lit("conv"), "conv_id").alias("book"), F.concat("turn", F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("bytes"))
+    zips = V.zip_books(files).select(F.concat("book", F.lit(".zip")).alias("path"), F.col("zip").alias("bytes"))
+    V.write_files(zips, root).write.format("noop").mode("overwrite").save()
+    found = A.scan_libraries(spark, [root], "*.zip", "/conv1")
+    return V.unzip_books(found, "vault").select("path", F.decode("bytes", "UTF-8").alias("content"))
+
+
+@_query("""WITH b AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'skip' AS mode, '/library/talk' || conv_id || '.epub' AS path FROM b WHERE conv_id % 3 <> 0 UNION ALL SELECT 'overwrite', '/library/talk' || conv_id || '.epub' FROM b""")
+def q46_existing_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books that are read, where every third has its folder already."""
+    books = _read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    archives = books.select(F.concat(F.lit("/library/talk"), "conv_id", F.lit(".epub")).alias("path"))
+    existing = books.where("conv_id % 3 = 0").select(F.concat(F.lit("talk"), "conv_id").alias("stem"))
+    skip, overwrite = (A.only_new(archives, existing, m).select(F.lit(m).alias("mode"), "path") for m in ("skip", "overwrite"))
+    return skip.unionByName(overwrite)
+
+
+@_query("""WITH e AS (SELECT p_partkey, p_name, p_partkey % 50 AS book, p_partkey % 20 || ['.png', '.svg', '.jpg', '.jpeg', '.PNG'][p_partkey % 5 + 1] AS asset FROM part)
+SELECT CAST(book AS VARCHAR) AS book_id, asset, arg_max(p_name, p_partkey) AS content FROM e WHERE regexp_matches(asset, '\\.(png|jpg|jpeg)$') GROUP BY book, asset""")
+def q47_image_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images are copied by their names alone: of those that share one within a book the last stays."""
+    ending = F.element_at(F.array(*map(F.lit, (".png", ".svg", ".jpg", ".jpeg", ".PNG"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("d"), "p_partkey", F.lit("/"), F.col("p_partkey") % 20, ending)
+    entries = _read(spark, sf_dir, "part").select((F.col("p_partkey") % 50).cast("string").alias("book_id"), F.col("p_partkey").alias("entry_ord"), path.alias("entry_path"), F.encode("p_name", "UTF-8").alias("bytes"))
+    return A.images(entries).select("book_id", "asset", F.decode("bytes", "UTF-8").alias("content"))
+
+
+@_query("SELECT s_suppkey, 'vault/' || s_name || '/images' AS assets_path, 'vault/' || s_name || '/images/' || s_suppkey || '.jpg' AS cover FROM supplier")
+def q48_assets_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a book's images go, and its cover among them."""
+    folder, cover = F.concat(F.lit("vault/"), "s_name"), F.concat(F.lit("OPS/img/"), "s_suppkey", F.lit(".jpg"))
+    where = X.render(Settings().assets_path, [("bookName", basename(folder)), ("savePath", F.lit("vault"))])
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", where.alias("assets_path"), cover.alias("cover")).withColumn("cover", join_path(F.col("assets_path"), basename(F.col("cover"))))
+
+
+@_query("""WITH s AS (SELECT user_id, value, epoch_us(ts) // 1000 AS ts_ms FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, value DESC) = 1)
+SELECT 'u' || c_custkey AS path, value AS scroll, ts_ms FROM customer LEFT JOIN s ON user_id = c_custkey""")
+def q49_progress_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of each asked note, null for one that was never read."""
+    events = _read(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("value").alias("scroll"), _ms("ts").alias("ts_ms"))
+    state = P.latest(events, ["path"], ["scroll", "ts_ms"], ["ts_ms", "scroll"])
+    return P.lookup(state, _read(spark, sf_dir, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("path")))
+
+
+@_query("SELECT c_name AS book FROM customer WHERE contains(c_name, '9')")
+def q50_export_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexes = _read(spark, sf_dir, "customer").select(F.concat(F.lit("vault/x/"), "c_name", F.lit(".md")).alias("path"))
+    return V.book_names(indexes, "9")
+
+
+def _navigated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of books that are nations: each customer is a page, an image, and two points, one below the other.
+
+    Every third customer's upper point has an empty title; every second image is named as a cover.
+    """
+    customers = _read(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("book_id"), "c_custkey", "c_name").withColumn("k", F.col("c_custkey").cast("string"))
+    title = F.when(F.expr("c_custkey % 3 = 0"), F.lit('<text lang="en"/>')).otherwise(F.concat(F.lit("<text>"), "c_name", F.lit("</text>")))
+    inner = F.concat(F.lit("<navPoint><navLabel><text>in "), "k", F.lit('</text></navLabel><content src="a%20b/'), "k", F.lit('.xhtml"/></navPoint>'))
+    point = F.concat(F.lit("<navPoint><navLabel>"), title, F.lit('</navLabel><content src="a%20b/'), "k", F.lit('.xhtml#f"/>'), inner, F.lit("</navPoint>"))
+    kind, ending = F.when(F.expr("c_custkey % 2 = 0"), "Front-Cover").otherwise("plate"), F.when(F.expr("c_custkey % 4 = 0"), ".svg").otherwise(".JPG")
+    item = F.concat(F.lit('<item id="p'), "k", F.lit('" href="a%20b/'), "k", F.lit('.xhtml"/><item id="'), kind, F.lit('" href="img/'), "k", ending, F.lit('"/>'))
+
+    def document(part, name: str, ord_: int, begin: str, end: str) -> DataFrame:
+        whole = N.ordered_concat(customers.withColumn("part", part), ["book_id"], ["c_custkey"], "part", "all", "")
+        return whole.select("book_id", F.col("book_id").alias("stem"), F.lit(ord_).alias("entry_ord"), F.lit(name).alias("entry_path"), F.encode(F.concat(F.lit(begin), "all", F.lit(end)), "UTF-8").alias("bytes"))
+
+    opf = document(item, "OPS/book.opf", 0, '<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>T</dc:title></metadata><manifest>', "</manifest></package>")
+    ncx = document(point, "OPS/book.ncx", 1, "<ncx><navMap>", "</navMap></ncx>")
+    return S.read_packages(opf.unionByName(ncx))
+
+
+@_query("""WITH k AS (SELECT 'n' || c_nationkey AS book_id, c_custkey AS k, c_name, CAST(2 * row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 2 AS INTEGER) AS place FROM customer WHERE c_custkey % 3 <> 0)
+SELECT book_id, place AS chapter_pos, -1 AS parent_pos, 0 AS level, c_name AS title, 'OPS/a b/' || k || '.xhtml#f' AS url, 1 AS n_children FROM k
+UNION ALL SELECT book_id, place + 1, place, 1, 'in ' || k, 'OPS/a b/' || k || '.xhtml', 0 FROM k""")
+def q51_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigation documents: blanks in places are decoded, a point with an empty title goes with what is below it."""
+    toc = S.table_of_contents(_navigated(spark, sf_dir))
+    return toc.select("book_id", "chapter_pos", "parent_pos", "level", F.col("original_name").alias("title"), "url", "n_children")
+
+
+@_query("""SELECT 'n' || c_nationkey AS book_id, 'OPS/img/' || min(CASE WHEN c_custkey % 4 = 2 THEN c_custkey END) || '.JPG' AS cover_path, count(*) AS n_pages, 'OPS/a%20b/' || min(c_custkey) || '.xhtml' AS first_page FROM customer GROUP BY c_nationkey""")
+def q52_covers_and_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package documents: the first image that is named as a cover; pages keep blanks as they are written."""
+    packages = _navigated(spark, sf_dir).select("book_id", "cover_path", "manifest")
+    return packages.select("book_id", "cover_path", F.size("manifest").cast("long").alias("n_pages"), F.col("manifest")[0]["path"].alias("first_page"))
+
+
+@_query("""WITH n AS (SELECT conv_id, turn, unnest([{'k': 1, 'h': '<p id="s' || turn || '">x < y<br></br></p>', 'a': true}, {'k': 3, 'h': '', 'a': false},
+  {'k': 4, 'h': '<b data-id="s' || turn || '">z</b>', 'a': false}, {'k': 5, 'h': ' tail', 'a': false}]) AS x FROM conversations)
+SELECT conv_id || '/' || turn AS file_path, CAST(x.k AS INTEGER) AS node_ord, x.h AS html, x.a AS anchor FROM n""")
+def q53_body_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's nodes: line feeds between them go, comments are empty, and only an element's own id is an anchor."""
+    own = F.concat(F.lit("s"), "turn")
+    page = F.concat(F.lit('<html><BODY>\n<P id="'), own, F.lit('">x &lt; y<BR/></P>\n<!-- no --><b data-id="'), own, F.lit('">z</b> tail</BODY></html>'))
+    files = _read(spark, sf_dir, "conversations").select(F.lit("b").alias("book_id"), F.concat_ws("/", "conv_id", "turn").alias("file_path"), page.alias("html"), F.array(own).alias("fragments"))
+    return T.body_nodes(files).select("file_path", "node_ord", "html", "anchor")
