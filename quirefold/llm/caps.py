@@ -1,13 +1,14 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A vector is cut into two blocks; each block has its own codebook of random unit vectors, and every pair of codewords is a
-filter: the cap of directions whose inner products with the two codewords sum to a threshold or more.  List decoding
-finds all caps of a vector from the two sorted lists of inner products, with work in proportion to the caps found.
+filter: a cap of the directions near the sum of both.  A vector lies in the caps with its `nearest` largest sums of inner
+products, which list decoding finds in the tops of the two sorted lists: of caps ranked r and s there, those with
+r * s <= nearest.  So every vector lies in as many caps, wherever it points; with one threshold for all sums some vectors
+had hundreds of caps and others hardly any, and the mean that a recall needs was several times as high.
 Vectors that share a cap are compared exactly, in double precision.  A fixed random rotation comes first, so that it doesn't
-matter how a vector's energy lies over its components.  The number of vectors of a length sets how many caps there are and
-how wide they are: about `bucket` vectors share a cap by chance, by the distribution of the product code itself; two
-vectors at the least cosine share about `overlap` caps, and there are as many more as random pairs at that cosine need
-for a recall of RECALL.
+matter how a vector's energy lies over its components; a short vector is turned into a space of WIDTH components.  There are
+so many caps that about `bucket` vectors share one, and a vector lies in as many as random pairs at the least cosine need
+for a recall of RECALL.  Where all vectors of a length fit a chunk, one cap holds them all.
 
 Equal vectors are one class, so a vector that a third of all rows hold is compared once.  Classes go to groups of caps
 (a codeword of the first block and a range of the second's) and, where a group is large, to pairs of its chunks.  A pair
@@ -22,7 +23,6 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,11 @@ from pyspark.sql.types import FloatType
 from .common import Scratch, tune
 from .components import components, hook
 
-COSINE, BUCKET, OVERLAP = 0.9, 64, 24.0
+COSINE, BUCKET = 0.9, 64
 #: Least share of random pairs at the least cosine that share a cap, and how many pairs a design is measured by.
-RECALL, TRIALS = 0.97, 2000
+RECALL, TRIALS = 0.985, 2000
+#: Caps of a vector, from the fewest that are tried to those beyond which caps become wider instead; least components that are cut into blocks.
+FEWEST, MOST, WIDTH = 4, 64, 16
 #: Classes of one chunk; a task holds two chunks of one group of caps.
 CHUNK = 2048
 #: Pairs whose lists of caps are compared at once.
@@ -45,49 +47,24 @@ PAIRS = 16384
 @dataclass(frozen=True)
 class Caps:
     words: int  # codewords of a block
-    threshold: float  # of the sum of both inner products with a unit vector, times sqrt(length)
+    nearest: int  # caps of a vector
     ranges: int  # of the second block's codewords, for groups
 
     def books(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng([20240229, length, self.words])
         out = []
         for size in (length // 2, length - length // 2):
-            book = rng.standard_normal((self.words, max(1, size)))
-            out.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt(max(1, size)))
+            book = rng.standard_normal((self.words, size))
+            out.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt(size))
         return out[0], out[1]
 
 
 @lru_cache(maxsize=8)
 def rotation(length: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng([20240301, length]).standard_normal((length, length)))
-    return q * np.sign(np.diag(r))
-
-
-def tail_threshold(length: int, p: float) -> float:
-    """The sum of inner products that a random unit vector exceeds with probability p, by a histogram of the product code."""
-    halves = (length // 2, length - length // 2)
-    if length < 4:
-        return -NormalDist().inv_cdf(p)
-    # a block's inner product is sqrt(t * size) * u: t its share of the energy, u a component of a random unit vector
-    step, n = 0.01, 4 * (int(math.sqrt(length)) + 2) * 100
-    edges = (np.arange(n + 1) - n / 2) * step
-    share = (np.arange(200) + 0.5) / 200
-    log_weight = (halves[0] / 2 - 1) * np.log(share) + (halves[1] / 2 - 1) * np.log1p(-share)
-    weight = np.exp(log_weight - log_weight.max())
-    total = np.zeros(2 * n - 1)
-    for t, w in zip(share, weight / weight.sum()):
-        parts = []
-        for size, part in zip(halves, (t, 1 - t)):
-            scale = math.sqrt(size * part)
-            angle = np.arccos(np.clip(edges / scale, -1, 1))
-            fine = np.linspace(0, math.pi, 4001)
-            below = np.cumsum(np.sin(fine) ** (size - 2))
-            parts.append(-np.diff(np.interp(angle, fine, below / below[-1])))
-        size_fft = 1 << (2 * n - 1).bit_length()
-        total += w * np.fft.irfft(np.fft.rfft(parts[0], size_fft) * np.fft.rfft(parts[1], size_fft), size_fft)[: 2 * n - 1]
-    above = np.cumsum(total[::-1])[::-1]
-    at = int(np.searchsorted(-above, -p))
-    return (at - n + 1) * step
+    """Orthonormal rows, one for each component of a vector."""
+    width = max(length, WIDTH)
+    q, r = np.linalg.qr(np.random.default_rng([20240301, width]).standard_normal((width, width)))
+    return (q * np.sign(np.diag(r)))[:length]
 
 
 def recall(caps: Caps, length: int, cosine: float, pairs: int = TRIALS) -> float:
@@ -105,46 +82,38 @@ def recall(caps: Caps, length: int, cosine: float, pairs: int = TRIALS) -> float
     return hit / pairs
 
 
-def design(n: int, length: int, cosine: float = COSINE, bucket: int = BUCKET, overlap: float = OVERLAP) -> Caps:
-    """Caps for n vectors of a length: a first guess of the codewords by bivariate normal tails, then more until random pairs meet RECALL."""
-    normal = NormalDist()
-    p = min(0.05, bucket / max(n, 1))
-    z = -normal.inv_cdf(p)
-    s = math.sqrt(1 - cosine * cosine)
-    grid = np.linspace(z, z + 8, 4001)
-    density = np.exp(-grid * grid / 2) / math.sqrt(2 * math.pi)
-    both = float(np.sum(density * np.array([1 - normal.cdf((z - cosine * g) / s) for g in grid])) * (grid[1] - grid[0]))
-    words = max(8, math.ceil(math.sqrt(overlap / both)))
-    threshold = min(z, tail_threshold(length, p))
-    most = 8 * words if length >= 4 else words  # where more codewords don't help, wider caps do
-    if length > 1 and cosine < 1:
-        while recall(Caps(words, threshold, 1), length, cosine) < RECALL:
-            words, threshold = (math.ceil(words * 1.15), threshold) if words < most else (words, threshold - 0.1)
-    ranges = max(1, math.ceil(n * p * words / CHUNK))  # a codeword and a range then gather about a chunk
-    return Caps(words, threshold, min(words, ranges))
+def design(n: int, length: int, cosine: float = COSINE, bucket: int = BUCKET) -> Caps:
+    """Caps for n vectors of a length: more caps of a vector, at about as many vectors a cap, until random pairs meet RECALL."""
+    if n <= CHUNK or length < 2:  # one component: two directions at most
+        return Caps(1, 1, 1)
+    nearest, words = FEWEST, math.ceil(math.sqrt(n * FEWEST / bucket))
+    while cosine < 1 and words**2 > nearest and recall(Caps(words, nearest, 1), length, cosine) < RECALL:
+        if nearest < MOST:
+            nearest += 1
+            words = math.ceil(math.sqrt(n * nearest / bucket))
+        else:  # where more caps don't help, wider ones do
+            words = int(words / 1.15)
+    if words**2 <= nearest:
+        return Caps(1, 1, 1)
+    ranges = math.ceil(n * nearest / words / CHUNK)  # a codeword and a range then gather about a chunk
+    return Caps(words, nearest, min(words, ranges))
 
 
 def decode(x: np.ndarray, caps: Caps) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every cap that holds a unit row of x, by row and filter."""
-    n, length = x.shape
-    one, two = caps.books(length)
-    x = x @ rotation(length)
-    a = x[:, : length // 2] @ one.T if length > 1 else np.zeros((n, caps.words))
-    b = x[:, length // 2 :] @ two.T
-    order = np.argsort(-b, axis=1, kind="stable")
-    ranked = np.take_along_axis(b, order, 1)
-    row, i = np.nonzero(a + ranked[:, :1] >= caps.threshold)
-    need = caps.threshold - a[row, i]
-    # position of each need in its row's descending list, through one sorted search
-    span = float(np.abs(ranked).max() + np.abs(need).max(initial=0) + 1) * 2
-    flat = (-ranked + np.arange(n)[:, None] * span).ravel()
-    count = np.searchsorted(flat, -need + row * span, "right") - row * caps.words
-    pick = np.repeat(np.arange(len(row)), count)
-    at = np.arange(len(pick)) - np.repeat(np.cumsum(count) - count, count)
-    j = order[row[pick], at]
-    row, found = row[pick], i[pick].astype(np.int64) * caps.words + j
-    again = np.lexsort((found, row))
-    return row[again], found[again]
+    x = x @ rotation(x.shape[1])
+    half, top = x.shape[1] // 2, min(caps.words, caps.nearest)
+    lists = []
+    for block, book in zip((x[:, :half], x[:, half:]), caps.books(x.shape[1])):
+        products = block @ book.T
+        best = np.argpartition(-products, top - 1, axis=1)[:, :top]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(products, best, 1), axis=1, kind="stable"), 1)
+        lists.append((best, np.take_along_axis(products, best, 1)))
+    (one, a), (two, b) = lists
+    r, s = np.nonzero(np.outer(np.arange(1, top + 1), np.arange(1, top + 1)) <= caps.nearest)
+    pick = np.argpartition(-(a[:, r] + b[:, s]), caps.nearest - 1, axis=1)[:, : caps.nearest]
+    found = np.take_along_axis(one, r[pick], 1) * caps.words + np.take_along_axis(two, s[pick], 1)
+    return np.repeat(np.arange(len(x)), caps.nearest), np.sort(found, axis=1).ravel()
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -258,13 +227,14 @@ def _compare(table: pa.Table, caps: Caps, cosine: float, kind: str) -> pa.Table:
     return pa.table({"id": pa.array(ids[got]), "links": pa.array(links[got]), "root": pa.array(ids[root[got]])})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", bucket: int = BUCKET, overlap: float = OVERLAP) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", bucket: int = BUCKET) -> DataFrame:
     """Per vector: vec_id, n_links (other rows at the least cosine or above), component_id, kept (vec_id = component_id).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept; so do
     vectors of different length among each other.  Rows with equal vectors always link.  Every link is exact; a pair is
-    missed only where no cap holds both (at most 3 % of random pairs at the least cosine, as measured for the design in use).  Ids are meant to be
-    unique and not null; rows without one are kept with null component and no links.
+    missed only where no cap holds both (at most 1.5 % of random pairs at the least cosine, as measured for the design in use;
+    none where a length has at most CHUNK different vectors).  Ids are meant to be unique and not null; rows without one are
+    kept with null component and no links.
     """
     spark = vectors.sparkSession
     tune(spark)
@@ -274,7 +244,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     keyed = scratch.table(_keyed(plain, kind), "vectors")
     classes = scratch.table(keyed.where("key IS NOT NULL").groupBy("length", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.min_by("v", "vec_id").alias("v")), "classes")
     # one row for each length of vectors
-    designs = {r.length: design(r.n, r.length, cosine, bucket, overlap) for r in classes.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    designs = {r.length: design(r.n, r.length, cosine, bucket) for r in classes.groupBy("length").agg(F.count("*").alias("n")).collect()}
     filed = scratch.table(_filed(classes.select("id", "weight", "length", "v"), designs, kind), "filed")
     sizes = filed.groupBy("length", "part").agg(F.count("*").alias("n"))
     dealt = filed.join(sizes, ["length", "part"]).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))

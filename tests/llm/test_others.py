@@ -220,6 +220,54 @@ def test_recall_of_caps_for_many_vectors():
         assert caps.recall(caps.design(n, 64), 64, 0.905) >= 0.96
 
 
+def test_groups_of_a_vector_hardly_grow_with_the_vectors():
+    """The rows that are filed, sorted and compared: five times the vectors must not give each of them twice as many."""
+    x = caps.units(np.random.default_rng(8).standard_normal((1000, 64)))
+    filed = []
+    for n in (10_000, 50_000, 250_000):
+        design = caps.design(n, 64)
+        row, found = caps.decode(x, design)
+        filed.append(len(set(zip(row.tolist(), (found // design.words * design.ranges + found % design.words * design.ranges // design.words).tolist()))) / len(x))
+    assert filed[0] < 8 and filed[1] < 13 and filed[2] < 20
+
+
+def test_nearest_caps_are_the_largest_sums():
+    for n, length in ((3000, 64), (5000, 7), (3000, 2)):
+        design = caps.design(n, length)
+        x = caps.units(np.random.default_rng(9).standard_normal((50, length)))
+        row, found = caps.decode(x, design)
+        y = x @ caps.rotation(length)
+        one, two = design.books(y.shape[1])
+        sums = (y[:, : y.shape[1] // 2] @ one.T)[:, :, None] + (y[:, y.shape[1] // 2 :] @ two.T)[:, None, :]
+        for k, all_sums in enumerate(sums.reshape(len(x), -1)):
+            assert found[row == k].tolist() == sorted(np.argsort(-all_sums)[: design.nearest].tolist())
+
+
+def test_links_of_vectors_around_one_direction(spark):
+    """Vectors that all point much the same way, more than a chunk, with few near pairs: caps that hold one hold many, or none."""
+    rng = np.random.default_rng(10)
+    noise = rng.standard_normal((1400, 64))
+    near = np.vstack([noise, 0.6 * noise + 0.8 * rng.standard_normal((1400, 64))])
+    x = rng.standard_normal(64) * 2 + near
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    got = caps.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    links = np.array([r.n_links for r in sorted(got, key=lambda r: r.vec_id)])
+    assert true.sum() > 1000 and (links <= true.sum(1)).all() and links.sum() >= 0.96 * true.sum()
+
+
+def test_vectors_of_one_chunk_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    a, b = rng.standard_normal((2, 700, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    x = np.vstack([a, 0.9001 * a + np.sqrt(1 - 0.9001**2) * b / np.linalg.norm(b, axis=1, keepdims=True)])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    degree = np.bincount(np.array(brute(rows)).ravel(), minlength=len(rows))
+    assert [r.n_links for r in sorted(got, key=lambda r: r.vec_id)] == degree.tolist()
+
+
 def test_vectors_of_awkward_rows(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0, 0.0]), (10, [1e-300, 2e-300]), (11, [1e300, 2e300]), (12, [-0.0, 1.0]), (13, [0.0, 1.0]), (None, [1.0, 2.0]), (14, [5.0])]
     got = caps.near_vectors(spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<double>, id int, key string")).collect()
